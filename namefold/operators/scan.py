@@ -72,7 +72,7 @@ def with_counter(
     return (
         rows.join(starts, [*keys, CHUNK])
         .withColumn(name, (F.col("__sum") + F.greatest("__start", "__lift")).cast("bigint"))
-        .drop("__add", "__floor", "__sum", "__lift", "__start", CHUNK)
+        .drop("__add", "__floor", "__sum", "__lift", "__start")
     )
 
 

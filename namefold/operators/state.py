@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from namefold.functions import assets, attributes
 from namefold.functions.assets import REGISTRY_LABELS
 from namefold.operators import scan
+from namefold.scratch import materialize
 
 ORDER = ("slot", "rank", "tx_pos", "idx", "hex")
 SLOT_CHUNK = 50_000
@@ -86,31 +87,40 @@ def missing_mints(outputs: DataFrame, mints: DataFrame) -> DataFrame:
     return outputs.select("name").distinct().join(mints.select("name").distinct(), "name", "left_anti")
 
 
-def _one_burn_per_block(events: DataFrame) -> DataFrame:
-    is_burn = F.col("kind") == "burn"
-    burns = events.filter(is_burn).groupBy("name", "slot").agg(
-        *[F.min(c).alias(c) for c in events.columns if c in ("rank", "tx_pos", "idx", "hex")],
-    )
-    rest = events.filter(~is_burn)
-    filled = [F.lit("burn").alias("kind") if c == "kind" else
-              (F.col(c) if c in burns.columns else F.lit(None).cast(events.schema[c].dataType).alias(c))
-              for c in events.columns]
-    return rest.unionByName(burns.select(*filled))
-
-
-def saved(events: DataFrame) -> DataFrame:
-    """Rows that change a record: a reference token without datum is skipped."""
+def prepare(events: DataFrame) -> DataFrame:
+    """Rows that change a record: no reference token without datum, no nameless
+    token, one main burn per name and block. Land the result: the fold reads it
+    several times."""
     skip = (F.col("kind") == "reference") & F.col("datum").isNull()
-    return events.filter(~skip & (F.col("name") != ""))
+    kept = events.filter(~skip & (F.col("name") != ""))
+    is_burn = F.col("kind") == "burn"
+    position = ("rank", "tx_pos", "idx", "hex")
+    burns = kept.filter(is_burn).groupBy("name", "slot").agg(*[F.min(c).alias(c) for c in position])
+    columns = [
+        F.lit("burn").alias("kind") if c == "kind"
+        else F.col(c) if c in burns.columns
+        else F.lit(None).cast(events.schema[c].dataType).alias(c)
+        for c in events.columns
+    ]
+    return kept.filter(~is_burn).unionByName(burns.select(*columns))
 
 
 def copy_counter(events: DataFrame, prior: DataFrame | None = None, *, count_double_mints: bool = True,
                  width: int = SLOT_CHUNK) -> DataFrame:
-    """Events with ``previous_hex`` and the number of ``copies`` after each of them.
+    """Prepared events with ``previous_hex`` and the number of ``copies`` after each.
 
+    Only names that burn or mint again are counted; all others stay at one copy.
     A record without an owner token yet counts 0 copies.
     """
-    rows = events.select("name", *ORDER, "kind", "owner_hex", "utxo", "is_mint", F.lit(None).cast("bigint").alias("held"))
+    mint = (F.col("kind") == "owner") & F.coalesce(F.col("is_mint"), F.lit(False))
+    per_name = events.groupBy("name").agg(
+        F.count_if(F.col("kind") == "burn").alias("burns"), F.count_if(mint).alias("mints")
+    )
+    busy = per_name.filter(F.col("burns") + F.col("mints") >= 1 if prior is not None
+                           else (F.col("burns") >= 1) | (F.col("mints") >= 2)).select("name")
+    rows = events.select(
+        "name", *ORDER, "kind", "owner_hex", "utxo", "is_mint", F.lit(None).cast("bigint").alias("held")
+    ).join(busy, "name", "left_semi")
     if prior is not None:
         start = prior.select(
             "name", F.lit(-1).cast("bigint").alias("slot"), F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("tx_pos"),
@@ -118,26 +128,25 @@ def copy_counter(events: DataFrame, prior: DataFrame | None = None, *, count_dou
             "utxo", F.lit(False).alias("is_mint"),
             F.when(F.col("utxo") != "", F.col("amount")).otherwise(0).cast("bigint").alias("held"),
         )
-        rows = rows.unionByName(start.join(events.select("name").distinct(), "name", "left_semi"))
+        rows = rows.unionByName(start.join(busy, "name", "left_semi"))
     rows = scan.with_chunk(rows, "slot", width)
-    owns = F.col("kind").isin("owner", "state")
-    rows = scan.with_last_seen(rows, ["name"], ORDER, F.when(owns, F.col("owner_hex")), "previous_hex")
     kind = F.col("kind")
+    rows = scan.with_last_seen(rows, ["name"], ORDER, F.when(kind.isin("owner", "state"), F.col("owner_hex")), "previous_hex")
     double = F.lit(False)
     if count_double_mints:
-        double = (kind == "owner") & F.coalesce(F.col("is_mint"), F.lit(False)) & (F.col("previous_hex") == F.col("owner_hex"))
+        double = F.coalesce(mint & (F.col("previous_hex") == F.col("owner_hex")), F.lit(False))
     add = F.when(kind == "burn", -1).when(double, 1).otherwise(0)
     floor = (
         F.when(kind == "burn", 0)
         .when(kind == "state", F.col("held"))
-        .when(kind.isin("owner", "virtual") & ~F.coalesce(double, F.lit(False)), 1)
+        .when(kind.isin("owner", "virtual") & ~double, 1)
     )
     return scan.with_counter(rows, ["name"], ORDER, add, floor, "copies")
 
 
 def double_mints(events: DataFrame, *, width: int = SLOT_CHUNK) -> DataFrame:
     """Mints of a name that still has a copy under the same identity."""
-    counted = copy_counter(_one_burn_per_block(saved(events)), width=width)
+    counted = copy_counter(events, width=width)
     return counted.filter(
         (F.col("kind") == "owner") & F.col("is_mint") & (F.col("previous_hex") == F.col("owner_hex")) & (F.col("copies") > 1)
     ).select("name", "slot", "utxo", F.col("copies").alias("amount"))
@@ -153,18 +162,24 @@ def _drop_late(events: DataFrame, prior: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).drop("__updated", "__utxo")
 
 
-def _partial(events: DataFrame, counted: DataFrame, width: int) -> DataFrame:
-    """Per name: copies left, whether the record ended, and the fields set since."""
+def _outcomes(counted: DataFrame) -> DataFrame:
+    """Copies left per counted name, and the order key of the burn that last ended its record."""
     position = F.struct(*ORDER)
     ended = (F.col("kind") == "burn") & (F.col("copies") == 0)
-    outcome = counted.groupBy("name").agg(
-        F.max(F.when(ended, position)).alias("cut"), F.max_by("copies", position).alias("copies")
-    )
-    # Spread the cut over the name's chunks, so that the join key stays balanced.
-    chunks = counted.select("name", scan.CHUNK).distinct()
-    cuts = outcome.filter(F.col("cut").isNotNull()).select("name", "cut").join(chunks, "name")
-    rows = scan.with_chunk(events, "slot", width).join(cuts, ["name", scan.CHUNK], "left")
-    rows = rows.filter(F.col("cut").isNull() | (position > F.col("cut"))).drop("cut", scan.CHUNK)
+    return counted.groupBy("name").agg(F.max(F.when(ended, position)).alias("cut"), F.max_by("copies", position).alias("copies"))
+
+
+def _partial(events: DataFrame, outcomes: DataFrame, width: int) -> DataFrame:
+    """Per name: copies left, whether the record ended, and the fields set since."""
+    position = F.struct(*ORDER)
+    events = scan.with_chunk(events, "slot", width)
+    # Spread the cut over the name's chunks, so that no join task gets a whole hot name.
+    cuts = outcomes.filter(F.col("cut").isNotNull()).select("name", "cut")
+    cuts = events.select("name", scan.CHUNK).distinct().join(cuts, "name")
+    rows = events.join(cuts, ["name", scan.CHUNK], "left")
+    # Rows before the cut stay as empty rows, so that every touched name keeps its line.
+    dead = F.coalesce(position <= F.col("cut"), F.lit(False))
+    rows = rows.withColumn("kind", F.when(~dead, F.col("kind"))).drop("cut", scan.CHUNK)
 
     kind = F.col("kind")
     has_datum = F.col("datum").isNotNull()
@@ -176,7 +191,7 @@ def _partial(events: DataFrame, counted: DataFrame, width: int) -> DataFrame:
         return F.max_by(value, F.when(condition, position)).alias(name)
 
     owner = kind == "owner"
-    output = ~kind.isin(*BURNS)
+    output = ~kind.isin(*BURNS)  # null, hence no, for rows before the cut
     places = F.struct(F.coalesce("address", F.lit("")).alias("address"), F.coalesce("holder", F.lit("")).alias("holder"))
     fields = rows.groupBy("name").agg(
         F.min_by(F.struct("policy", "owner_hex", "slot", "kind", places.alias("place")), F.when(output, position)).alias("first"),
@@ -194,23 +209,21 @@ def _partial(events: DataFrame, counted: DataFrame, width: int) -> DataFrame:
             for label in REGISTRY_LABELS
         ],
     )
-    return outcome.select("name", "copies", F.col("cut").isNotNull().alias("ended")).join(fields, "name", "left")
+    ends = outcomes.select("name", "copies", F.col("cut").isNotNull().alias("ended"))
+    return fields.join(ends, "name", "left").withColumn("ended", F.coalesce("ended", F.lit(False)))
 
 
 def fold(events: DataFrame, mints: DataFrame, prior: DataFrame | None = None, *, count_double_mints: bool = True,
          width: int = SLOT_CHUNK) -> DataFrame:
-    """Current records of every name touched by ``events``.
+    """Current records of every name touched by prepared ``events``.
 
     With ``prior`` (an earlier result) the events continue from it and the result
     holds the touched names only, with ``exists = false`` where a record ended.
     Without it the result holds the existing records.
     """
-    rows = saved(events)
-    if prior is not None:
-        rows = _drop_late(rows, prior)
-    rows = _one_burn_per_block(rows)
+    rows = events if prior is None else _drop_late(events, prior)
     counted = copy_counter(rows, prior, count_double_mints=count_double_mints, width=width)
-    part = _partial(rows, counted, width)
+    part = _partial(rows, materialize(_outcomes(counted), "outcomes"), width)
     old = None
     if prior is not None:
         old = prior.select("name", F.struct(*[c for c in prior.columns if c != "name"]).alias("old"))
@@ -280,7 +293,7 @@ def _records(part: DataFrame, has_old: bool) -> DataFrame:
         owned("script").alias("script"),
         owned("datum").alias("datum"),
         owned("datum").isNotNull().alias("has_datum"),
-        F.greatest(F.coalesce("copies", F.lit(1)), F.lit(1)).cast("bigint").alias("amount"),
+        F.greatest(F.coalesce("copies", old("amount"), F.lit(1)), F.lit(1)).cast("bigint").alias("amount"),
         F.least(F.coalesce(F.col("minted"), first["slot"]), *([old("created_slot_number")] if has_old else [F.lit(None)]))
         .alias("created_slot_number"),
         F.greatest(F.col("updated"), *([old("updated_slot_number")] if has_old else [F.lit(None)]),
