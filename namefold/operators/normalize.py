@@ -127,14 +127,23 @@ def net_asset_delta(outputs: DataFrame, inputs: DataFrame, keys: Sequence[str])
     return signed.groupBy(*keys).agg(F.sum("quantity").alias("quantity")).filter(F.col("quantity") != 0)
 
 
-def merge_output_records(records: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Duplicate reads of an output: per field the first non-null value wins."""
+def merge_output_records(records: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
+                         token: str = "hex") -> DataFrame:
+    """Duplicate reads of an output: per field the first non-null value wins.
+
+    ``assets`` counts the union of the tokens; `merged_tokens` lists them.
+    """
     position = F.struct(*order)
     return records.groupBy(*keys).agg(
-        *[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), position)).alias(f) for f in fields]
+        *[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), position)).alias(f) for f in fields],
+        F.count_distinct(token).alias("assets"),
     )
 
 
+def merged_tokens(records: DataFrame, keys: Sequence[str], policy: str = "policy", token: str = "hex") -> DataFrame:
+    return records.select(*keys, policy, token).distinct()
+
+
 def drop_failed(txs: DataFrame) -> DataFrame:
     """Successful transactions; a row without header fields or hash is an error."""
     broken = F.col("tx_hash").isNull() | F.col("block_hash").isNull() | F.col("height").isNull()
@@ -191,3 +200,34 @@ def unspent_asset_rows(outputs: DataFrame, requested: DataFrame) -> DataFrame:
     ``outputs`` is one row per asset with ``is_spent``.
     """
     return outputs.filter(~F.coalesce(F.col("is_spent"), F.lit(False))).join(requested, ["policy", "hex"])
+
+
+def policy_settings(rows: DataFrame, keys: Sequence[str], settings_json: str) -> DataFrame:
+    """One row per policy of a settings map whose values are tuples or objects.
+
+    ``0x`` is stripped from the policy; an end slot of 0 or less means none. A
+    value of another shape, or one that is no number, is an error.
+    """
+    entries = rows.select(*keys, F.explode(F.from_json(settings_json, "map<string,string>")).alias("policy", "value"))
+    value = F.col("value")
+    as_tuple = F.from_json(value, "array<string>")
+    as_object = F.from_json(value, "map<string,string>")
+    fail = F.raise_error(F.concat(F.lit("invalid policy settings "), F.coalesce(value, F.lit("null"))))
+
+    def slot(position: int, *spellings: str) -> Column:
+        spelled = F.coalesce(*[F.try_element_at(as_object, F.lit(s)) for s in spellings], F.lit("0"))
+        text = (
+            F.when(value.startswith("[") & (F.size(as_tuple) >= 3), F.try_element_at(as_tuple, F.lit(position)))
+            .when(value.startswith("{"), spelled)
+        )
+        return F.coalesce(text.try_cast("double"), fail.cast("double")).cast("bigint")
+
+    def optional(number: Column) -> Column:
+        return F.when(number > 0, number)
+
+    return entries.select(
+        *keys, F.regexp_replace("policy", "^0[xX]", "").alias("policy"),
+        slot(1, "first_minting_slot", "firstMintingSlot").alias("first_minting_slot"),
+        optional(slot(2, "last_minting_slot", "lastMintingSlot")).alias("last_minting_slot"),
+        optional(slot(3, "sunset_slot", "sunsetSlot")).alias("sunset_slot"),
+    )

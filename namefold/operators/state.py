@@ -13,6 +13,11 @@ burns, then outputs with a 222 token, then the rest.
 Only the copy counter needs the order of all rows (`scan.with_counter`): it says
 where a record ended. Every field is then the newest (or oldest) value after
 that point, which aggregates map-side, so no group is ever collected.
+
+A mint counts as a second copy if the name's last owner token has the same
+identity and the record was not burned away since. The identity a record took
+from a settings or reference token alone does not count; that differs only for
+names that mix virtual and owner tokens, which the ledger rules out.
 """
 
 from __future__ import annotations
@@ -113,11 +118,15 @@ def copy_counter(events: DataFrame, prior: DataFrame | None = None, *, count_dou
     A record without an owner token yet counts 0 copies.
     """
     mint = (F.col("kind") == "owner") & F.coalesce(F.col("is_mint"), F.lit(False))
+    first_owner = F.min(F.when(F.col("kind") == "owner", F.struct(*ORDER)))
     per_name = events.groupBy("name").agg(
-        F.count_if(F.col("kind") == "burn").alias("burns"), F.count_if(mint).alias("mints")
+        F.count_if(F.col("kind") == "burn").alias("burns"), F.count_if(mint).alias("mints"),
+        (first_owner == F.min(F.when(mint, F.struct(*ORDER)))).alias("minted_first"),
     )
-    busy = per_name.filter(F.col("burns") + F.col("mints") >= 1 if prior is not None
-                           else (F.col("burns") >= 1) | (F.col("mints") >= 2)).select("name")
+    once = (F.col("mints") == 0) | ((F.col("mints") == 1) & F.col("minted_first"))
+    if prior is not None:
+        once = F.col("mints") == 0
+    busy = per_name.filter((F.col("burns") > 0) | ~once).select("name")
     rows = events.select(
         "name", *ORDER, "kind", "owner_hex", "utxo", "is_mint", F.lit(None).cast("bigint").alias("held")
     ).join(busy, "name", "left_semi")
@@ -162,6 +171,14 @@ def _drop_late(events: DataFrame, prior: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).drop("__updated", "__utxo")
 
 
+def label_sets(rows: DataFrame, key: str, label: str, tracked: tuple[str, ...] = REGISTRY_LABELS, separator: str = "") -> DataFrame:
+    """Sorted distinct tracked labels per key. The labels are a fixed few, so each
+    is one flag of the aggregate and no set is collected."""
+    flags = [F.max(F.when(F.col(label) == value, F.lit(value))).alias(f"l{i}") for i, value in enumerate(sorted(tracked))]
+    grouped = rows.groupBy(key).agg(*flags)
+    return grouped.select(key, F.concat_ws(separator, *[f"l{i}" for i in range(len(tracked))]).alias("labels"))
+
+
 def _outcomes(counted: DataFrame) -> DataFrame:
     """Copies left per counted name, and the order key of the burn that last ended its record."""
     position = F.struct(*ORDER)

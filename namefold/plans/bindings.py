@@ -134,7 +134,7 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pick == 5, assets.LABEL_SETTINGS)
         .when(burned, F.lit(None))
         .when(pick == 3, assets.LABEL_REFERENCE)
-        .when((pick == 6) & F.col("name").contains("@"), assets.LABEL_VIRTUAL)
+        .when(F.col("asset_id") % 10 == 4, assets.LABEL_VIRTUAL)  # half of the names with a root
         .when(F.col("tx_id") % 2 == 0, assets.LABEL_OWNER)
     )
     kind = F.when(burned, F.when(pick == 5, "label_burn").otherwise("burn"))
@@ -233,7 +233,7 @@ FROM (
     SELECT m.*, n.name, lower(hex(encode(n.name))) AS body, (tx_id + idx) % 7 AS pick,
       CASE WHEN (tx_id + idx) % 7 = 5 THEN '00001070' WHEN is_burn = 1 THEN NULL
            WHEN (tx_id + idx) % 7 = 3 THEN '000643b0'
-           WHEN (tx_id + idx) % 7 = 6 AND contains(n.name, '@') THEN '00000000'
+           WHEN m.asset_id % 10 = 4 THEN '00000000'
            WHEN tx_id % 2 = 0 THEN '000de140' END AS label
     FROM moves m JOIN names n ON n.asset_id = m.asset_id) a) b
 WHERE kind IN ('burn', 'label_burn')
