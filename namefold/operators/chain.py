@@ -78,7 +78,7 @@ def ancestors(blocks: DataFrame, tip_hash: str, *, depth: int = MAX_DEPTH) -> Da
             WHERE w.depth < {depth})
         SELECT hash, slot, parent, depth FROM walk
         """,
-        near=near, tip=F.lit(tip_hash), depth=F.lit(depth),
+        near=near, tip=tip_hash, depth=depth,
     )
 
 
