@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namefold.scratch import materialize
+
 MAX_DEPTH = 64
 KEEP_BLOCKS = 3000
 
@@ -63,23 +65,26 @@ def ancestors(blocks: DataFrame, tip_hash: str, *, depth: int = MAX_DEPTH) -> Da
     """The tip and up to ``depth`` parents, slots strictly falling.
 
     ``blocks`` has ``height, slot, hash, parent``. Only heights the walk can
-    reach are read, so each step joins a table of a few rows.
+    reach are read, and jumps of 1, 2, 4, ... parents reach them in as many
+    joins as the depth has binary digits.
     """
-    spark = blocks.sparkSession
     tip_height = blocks.filter(F.col("hash") == tip_hash).agg(F.max("height")).scalar()
-    near = blocks.filter(F.col("height").between(tip_height - depth, tip_height)).select("slot", "hash", "parent")
-    return spark.sql(
-        """
-        WITH RECURSIVE near AS (SELECT * FROM {near}), walk(hash, slot, parent, depth) AS (
-            SELECT hash, slot, parent, 0 FROM near WHERE hash = {tip}
-            UNION ALL
-            SELECT n.hash, n.slot, n.parent, w.depth + 1
-            FROM walk w JOIN near n ON n.hash = w.parent AND n.slot < w.slot
-            WHERE w.depth < {depth})
-        SELECT hash, slot, parent, depth FROM walk
-        """,
-        near=near, tip=tip_hash, depth=depth,
+    near = materialize(
+        blocks.filter(F.col("height").between(tip_height - depth, tip_height)).select("slot", "hash", "parent"), "near"
     )
+    upper = near.select(F.col("hash").alias("parent"), F.col("slot").alias("__slot"))
+    jumps = near.join(upper, "parent").filter(F.col("__slot") < F.col("slot")).select("hash", F.col("parent").alias("to"))
+    stay = near.select("hash", F.col("hash").alias("to"), F.lit(0).alias("n"))
+    reached = near.filter(F.col("hash") == tip_hash).select("hash", F.lit(0).alias("depth"))
+    span = 1
+    while span <= depth:
+        jumps = materialize(jumps, "jumps")
+        moves = stay.unionByName(jumps.withColumn("n", F.lit(span)))
+        reached = reached.join(moves, "hash").select(F.col("to").alias("hash"), (F.col("depth") + F.col("n")).alias("depth"))
+        jumps = jumps.join(jumps.select(F.col("hash").alias("to"), F.col("to").alias("further")), "to").select(
+            "hash", F.col("further").alias("to"))
+        span *= 2
+    return reached.filter(F.col("depth") <= depth).join(near, "hash").select("hash", "slot", "parent", "depth")
 
 
 def common_ancestor(blocks: DataFrame, old_tip: str, new_tip: str, *, depth: int = MAX_DEPTH) -> DataFrame:
@@ -92,12 +97,10 @@ def common_ancestor(blocks: DataFrame, old_tip: str, new_tip: str, *, depth: int
     ).select("a.*")
 
 
-def descends_from(blocks: DataFrame, tip: str, point_hash: str, point_slot: int, *, depth: int = MAX_DEPTH) -> DataFrame:
-    """One row telling whether the tip reaches the point within ``depth`` parents."""
+def descends_from(walk: DataFrame, point_hash: str, point_slot: int) -> DataFrame:
+    """One row telling whether the `ancestors` of a tip hold a point, and how far they reach."""
     hit = (F.col("hash") == point_hash) & (F.col("slot") == point_slot)
-    return ancestors(blocks, tip, depth=depth).agg(
-        F.coalesce(F.bool_or(hit), F.lit(False)).alias("descends"), F.max("depth").alias("walked")
-    )
+    return walk.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("descends"), F.max("depth").alias("walked"))
 
 
 def freshness(scanned: DataFrame, tips: DataFrame, tolerance: int) -> DataFrame:

@@ -413,9 +413,10 @@ def descends_from(spark, sf_dir):
     tip = _top_hash(main)
     top = main.agg(F.max("height")).first()[0]
     points = {r["height"]: r for r in main.filter(F.col("height").isin(top - 40, top - 70)).collect()}
+    walk = materialize(chain.ancestors(rows, tip), "walk")
     result = None
     for point, height in (("inside", top - 40), ("beyond", top - 70)):
-        part = chain.descends_from(rows, tip, points[height]["hash"], points[height]["slot"]).withColumn("point", F.lit(point))
+        part = chain.descends_from(walk, points[height]["hash"], points[height]["slot"]).withColumn("point", F.lit(point))
         result = part if result is None else result.unionByName(part)
     return result
 
