@@ -138,7 +138,9 @@ def copy_counter(events: DataFrame, prior: DataFrame | None = None, *, count_dou
             F.when(F.col("utxo") != "", F.col("amount")).otherwise(0).cast("bigint").alias("held"),
         )
         rows = rows.unionByName(start.join(busy, "name", "left_semi"))
-    rows = scan.with_chunk(rows, "slot", width)
+    # The scans below read these narrow rows four times; landing them is cheaper
+    # than repeating the joins above.
+    rows = materialize(scan.with_chunk(rows, "slot", width), "busy")
     kind = F.col("kind")
     rows = scan.with_last_seen(rows, ["name"], ORDER, F.when(kind.isin("owner", "state"), F.col("owner_hex")), "previous_hex")
     double = F.lit(False)

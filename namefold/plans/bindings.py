@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import scan
+from namefold.scratch import materialize
 
 SLOT_CHUNK = 400  # slots are days here, about 2,400 of them
 TRACKED_POLICY = "p0"
@@ -124,7 +125,7 @@ def current_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows as fold events of all kinds, after the net effect of their block."""
-    raw = moves(spark, sf_dir)
+    raw = materialize(moves(spark, sf_dir), "moves")
     inputs = raw.select(F.col("prev_utxo").alias("utxo"), "slot").filter(F.col("utxo").isNotNull()).distinct()
     joined = raw.drop("prev_utxo", "prev_slot").join(names(spark, sf_dir), "asset_id")
     pick = (F.col("tx_id") + F.col("idx")) % 7

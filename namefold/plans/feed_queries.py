@@ -132,13 +132,14 @@ def report_json(spark, sf_dir):
     return spark.read.schema("name STRING, asset_id BIGINT").json(path)
 
 
-def _run_feed(spark, rows: DataFrame, slices: int) -> tuple[ingest.CurrentState, int]:
+def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger]) -> tuple[ingest.BlockLedger, int]:
     """Land the feed slice by slice and resume the same job after each."""
-    feed, work = scratch_path(spark, "feed"), scratch_path(spark, "work")
+    feed = scratch_path(spark, "feed")
+    job = kind(spark, scratch_path(spark, "work"))
     top = rows.agg(F.max("seq")).first()[0] + 1
     for part in range(slices):
         rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)).write.mode("append").json(feed)
-        job = ingest.run(spark, feed, work, files_per_batch=1 << 20)
+        ingest.run(job, feed, files_per_batch=1 << 20)
     return job, ingest.last_batch(job)
 
 
@@ -161,14 +162,14 @@ SELECT name, amount, utxo, holder, updated AS updated_slot_number FROM (
 def stream_current_state(spark, sf_dir):
     rows = _feed_rows(spark, sf_dir)
     repeated = rows.unionByName(rows.filter(F.col("slot") % 10 == 3))  # delivered twice
-    job, batch = _run_feed(spark, repeated, 3)
+    job, batch = _run_feed(spark, repeated, 3, ingest.CurrentState)
     return job.records(batch).select("name", "amount", "utxo", "holder", "updated_slot_number")
 
 
 @query("stream_complete_blocks", with_views("""
 SELECT height, md5(CAST(height AS VARCHAR)) AS hash, count(*) AS slots FROM feed WHERE height < (SELECT max(height) FROM feed) GROUP BY height""", "feed"))
 def stream_complete_blocks(spark, sf_dir):
-    job, batch = _run_feed(spark, _feed_rows(spark, sf_dir), 2)
+    job, batch = _run_feed(spark, _feed_rows(spark, sf_dir), 2, ingest.BlockLedger)
     return job.table("blocks", batch).groupBy("height", "hash").agg(F.count("*").alias("slots"))
 
 
@@ -181,7 +182,7 @@ def stream_undo_log(spark, sf_dir):
     rows = _feed_rows(spark, sf_dir)
     at = F.floor(rows.agg(F.max("slot")).scalar() * 6 / 10)
     undo = rows.filter(F.col("slot") == at).withColumn("action", F.lit("undo")).withColumn("seq", F.col("seq") + 1)
-    job, batch = _run_feed(spark, rows.unionByName(undo), 2)
+    job, batch = _run_feed(spark, rows.unionByName(undo), 2, ingest.BlockLedger)
     blocks = job.table("blocks", batch).agg(F.count_distinct("height")).scalar()
     return job.undo_log(batch).select("slot", "height", "applied", blocks.alias("blocks"))
 
@@ -189,5 +190,5 @@ def stream_undo_log(spark, sf_dir):
 @query("stream_progress", with_views("""
 SELECT count(*) AS blocks, max(height) AS last_height, false AS halted FROM (SELECT DISTINCT height FROM feed WHERE height < (SELECT max(height) FROM feed))""", "feed"))
 def stream_progress(spark, sf_dir):
-    job, batch = _run_feed(spark, _feed_rows(spark, sf_dir), 2)
+    job, batch = _run_feed(spark, _feed_rows(spark, sf_dir), 2, ingest.BlockLedger)
     return job.table("status", batch).agg(F.sum("blocks").alias("blocks"), F.max("last_height").alias("last_height"), F.bool_or("halted").alias("halted"))

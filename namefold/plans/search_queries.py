@@ -222,6 +222,15 @@ def default_name(spark, sf_dir):
     return holders.default_names(records(spark, sf_dir))
 
 
+@query("owners_with_defaults", _sql(_DEFAULTS + """
+SELECT r.name, r.holder, r.utxo, coalesce(d.explicit, d.name) AS default_in_wallet FROM records r
+JOIN ranked d ON d.holder = r.holder AND d.rn = 1"""))
+def owners_with_defaults(spark, sf_dir):
+    """Who holds each name now, and what is each holder's default name?"""
+    rows = records(spark, sf_dir)
+    return holders.with_default_names(rows, rows).select("name", "holder", "utxo", "default_in_wallet")
+
+
 @query("holder_ranking", _sql(_DEFAULTS + """
 SELECT holder, total, coalesce(explicit, name) AS default_name, explicit IS NOT NULL AS manually_set
 FROM ranked WHERE rn = 1 ORDER BY total DESC, holder DESC LIMIT 50 OFFSET 50"""))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import state
+from namefold.scratch import materialize
 from namefold.sources import landed
 
 STATUS_SCHEMA = "last_height BIGINT, halted BOOLEAN, events BIGINT, blocks BIGINT, names BIGINT"
@@ -75,12 +76,11 @@ def spent_outputs(rows: DataFrame) -> DataFrame:
 
 
 @dataclass
-class CurrentState:
-    """The tables of one ingest job below ``work``."""
+class BlockLedger:
+    """Gate of complete blocks below ``work``: what every ingest job needs."""
 
     spark: SparkSession
     work: str
-    compact_every: int = 20
 
     def _path(self, table: str, batch: int) -> str:
         return f"{self.work}/{table}/batch={batch}"
@@ -94,19 +94,8 @@ class CurrentState:
         root = f"{self.work}/{table}"
         return self.spark.read.option("basePath", root).parquet(*[self._path(table, i) for i in batches])
 
-    def records(self, upto: int, *, ended: bool = False) -> DataFrame | None:
-        """Newest row per name after batch ``upto``: the last full copy and the batches after it."""
-        if upto < 0:
-            return None
-        full = upto // self.compact_every * self.compact_every
-        parts = self._read("state", list(range(full + 1, upto + 1)))
-        base = self._read("full", [full]) if full > 0 else self._read("state", [0])
-        every = base if parts is None else base.unionByName(parts)
-        columns = [c for c in every.columns if c not in ("name", "batch")]
-        newest = every.groupBy("name").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("name", "r.*")
-        return newest if ended else newest.filter("exists")
-
     def table(self, name: str, upto: int) -> DataFrame | None:
+        """Rows of a table after batch ``upto``."""
         return self._read(name, list(range(upto + 1)))
 
     def undo_log(self, upto: int) -> DataFrame:
@@ -123,77 +112,90 @@ class CurrentState:
         before it are, the rest is held until a repair has compared the state
         with the canonical chain."""
         last_height, halted = self._status(batch - 1)
-        held = self._read("held", [batch - 1]) if batch > 0 else None
         rows = rows.select(*[f.split(" ")[0] for f in landed.EVENT_SCHEMA.split(", ")])
-        if held is not None:
-            rows = rows.unionByName(held.drop("batch"))
+        if batch > 0:
+            rows = rows.unionByName(self._read("held", [batch - 1]).drop("batch"))
         rows = rows.persist()
         try:
-            self._apply(rows, batch, last_height, halted)
+            early, late = before_undo(rows)
+            if halted:
+                early, late = rows.filter(F.lit(False)), rows
+            released, tip = complete_blocks(early)
+            height, blocks = check_contiguous(released, last_height)
+            undone = rows.filter(F.col("action") == "undo").select(
+                "seq", "slot", "height", "hash", (F.col("height") <= F.lit(-1 if height is None else height)).alias("applied"))
+            names = self.apply(released, batch)
+            self._write(released.select("slot", "height", "hash").distinct(), "blocks", batch)
+            self._write(undone, "undo", batch)
+            self._write(late if halted else tip.unionByName(late), "held", batch)
+            stopped = F.lit(halted) | (undone.agg(F.count("*")).scalar() > 0)
+            status = released.agg(F.count("*").alias("events")).select(
+                F.lit(height).cast("bigint").alias("last_height"), stopped.alias("halted"), "events",
+                F.lit(blocks).cast("bigint").alias("blocks"), F.lit(names).cast("bigint").alias("names"))
+            self._write(status, "status", batch)
         finally:
             rows.unpersist()
 
-    def _apply(self, rows: DataFrame, batch: int, last_height: int | None, halted: bool) -> None:
-        early, late = before_undo(rows)
-        if halted:
-            early, late = rows.filter(F.lit(False)), rows
-        released, tip = complete_blocks(early)
-        height, blocks = check_contiguous(released, last_height)
-        undone = rows.filter(F.col("action") == "undo").select("seq", "slot", "height", "hash", (F.col("height") <= (height or -1)).alias("applied"))
+    def apply(self, released: DataFrame, batch: int) -> int:
+        """What a job makes of the released blocks; returns the names it touched."""
+        return 0
+
+
+@dataclass
+class CurrentState(BlockLedger):
+    """Keeps the current record of every name."""
+
+    compact_every: int = 20
+
+    def _newest(self, upto: int) -> DataFrame:
+        """Newest row per name: the last full copy and the batches after it."""
+        full = upto // self.compact_every * self.compact_every
+        if full > 0 and full == upto:
+            full -= self.compact_every
+        parts = self._read("state", list(range(full + 1, upto + 1)))
+        base = self._read("full" if full > 0 else "state", [full])
+        every = base if parts is None else base.unionByName(parts)
+        columns = [c for c in every.columns if c not in ("name", "batch")]
+        return every.groupBy("name").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("name", "r.*")
+
+    def records(self, upto: int) -> DataFrame | None:
+        return self._newest(upto).filter("exists").drop("exists") if upto >= 0 else None
+
+    def apply(self, released: DataFrame, batch: int) -> int:
         once = distinct_events(released)
         every = fold_events(once)
         events = state.prepare(state.net_of_block(every, spent_outputs(once))).persist()
-        prior = self.records(batch - 1)
         touched = events.select("name").distinct()
-        if prior is not None:
-            prior = prior.drop("exists").join(touched, "name", "left_semi")
         # Mint history counts every output, also one spent in its own block.
         self._write(every.filter("is_mint").select(
             "name", F.col("slot").alias("created_slot"), F.split_part("utxo", F.lit("#"), F.lit(1)).alias("tx_hash"), F.lit("{}").alias("metadata")
         ).distinct(), "mints", batch)
         mints = self.table("mints", batch).drop("batch").join(touched, "name", "left_semi").distinct()
+        prior = self.records(batch - 1)
         if prior is None:
             records = state.fold(events, mints).withColumn("exists", F.lit(True))
         else:
-            records = state.fold(events, mints, prior)
+            records = state.fold(events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"))
         self._write(records, "state", batch)
-        self._write(released.select("slot", "height", "hash").distinct(), "blocks", batch)
-        self._write(undone, "undo", batch)
-        stopped = halted or not undone.isEmpty()
-        self._write(tip.unionByName(late) if not halted else rows, "held", batch)
-        status = released.agg(F.count("*").alias("events")).select(
-            F.lit(height).cast("bigint").alias("last_height"), F.lit(stopped).alias("halted"), "events",
-            F.lit(blocks).cast("bigint").alias("blocks"), touched.agg(F.count("*")).scalar().alias("names"))
-        self._write(status, "status", batch)
         if batch > 0 and batch % self.compact_every == 0:
-            self._compact(batch)
+            self._write(self._newest(batch), "full", batch)
         events.unpersist()
-
-    def _compact(self, batch: int) -> None:
-        full = batch - self.compact_every
-        parts = self._read("state", list(range(full + 1, batch + 1)))
-        base = self._read("full", [full]) if full > 0 else self._read("state", [0])
-        every = base.unionByName(parts)
-        columns = [c for c in every.columns if c not in ("name", "batch")]
-        newest = every.groupBy("name").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("name", "r.*")
-        self._write(newest, "full", batch)
+        return self._read("state", [batch]).count()
 
 
-def run(spark: SparkSession, feed: str, work: str, *, files_per_batch: int = 1) -> CurrentState:
+def run(job: BlockLedger, feed: str, *, files_per_batch: int = 1) -> None:
     """Process all landed files of a feed and stop; run it again to go on."""
-    job = CurrentState(spark, work)
     query = (
-        landed.stream_events(spark, feed, files_per_batch=files_per_batch)
+        landed.stream_events(job.spark, feed, files_per_batch=files_per_batch)
         .writeStream.foreachBatch(job.process)
-        .option("checkpointLocation", f"{work}/checkpoint")
+        .option("checkpointLocation", f"{job.work}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return job
 
 
-def last_batch(job: CurrentState) -> int:
-    """Newest batch of a job whose status is written."""
+def last_batch(job: BlockLedger) -> int:
+    """Newest batch whose status is written."""
     statuses = job.spark.read.option("basePath", f"{job.work}/status").schema(STATUS_SCHEMA + ", batch INT").parquet(f"{job.work}/status")
     return statuses.agg(F.max("batch")).first()[0]
