@@ -17,10 +17,13 @@ def only_block_type(blocks: DataFrame, block_type: str = "praos") -> DataFrame:
     return blocks.filter(checked)
 
 
-def flatten_blocks(blocks: DataFrame) -> DataFrame:
+def flatten_blocks(blocks: DataFrame, policies: Sequence[str] | None = None) -> DataFrame:
     """One row per asset of every output: block, tx position, output, policy, token, quantity.
 
-    ``assets`` of an output is ``policy -> token hex -> quantity``.
+    ``assets`` of an output is ``policy -> token hex -> quantity``; with
+    ``policies`` only theirs are kept. ``rank`` puts outputs that hold a 222 token
+    before the others of their block. All of it happens inside the nested
+    columns, so neither the filter nor the rank needs a shuffle.
     """
     txs = blocks.select(
         F.col("id").alias("block_hash"), "height", "slot", F.posexplode("transactions").alias("tx_pos", "tx")
@@ -28,11 +31,19 @@ def flatten_blocks(blocks: DataFrame) -> DataFrame:
     outs = txs.select(
         "block_hash", "height", "slot", "tx_pos", F.col("tx.id").alias("tx_id"), F.posexplode("tx.outputs").alias("idx", "out")
     )
-    policies = outs.select(
-        "block_hash", "height", "slot", "tx_pos", "tx_id", "idx", F.col("out.address").alias("address"),
-        F.col("out.lovelace").alias("lovelace"), F.col("out.datum").alias("datum"), F.explode("out.assets").alias("policy", "tokens"),
+    held = F.col("out.assets")
+    if policies is not None:
+        held = F.map_filter(held, lambda policy, _tokens: policy.isin(*policies))
+    outs = outs.withColumn("held", held)
+    owner = F.exists(
+        F.map_values("held"), lambda tokens: F.exists(F.map_keys(tokens), lambda t: t.startswith(assets.LABEL_OWNER))
     )
-    return policies.select("*", F.explode("tokens").alias("hex", "quantity")).drop("tokens").withColumn(
+    per_policy = outs.select(
+        "block_hash", "height", "slot", "tx_pos", "tx_id", "idx", F.when(owner, 2).otherwise(3).alias("rank"),
+        F.col("out.address").alias("address"), F.col("out.lovelace").alias("lovelace"), F.col("out.datum").alias("datum"),
+        F.explode("held").alias("policy", "tokens"),
+    )
+    return per_policy.select("*", F.explode("tokens").alias("hex", "quantity")).drop("tokens").withColumn(
         "utxo", F.concat_ws("#", "tx_id", "idx")
     )
 
@@ -62,15 +73,6 @@ def group_by_block(txs: DataFrame) -> DataFrame:
     return txs.groupBy("block_hash", "block_height", "absolute_slot").agg(F.count_distinct("tx_hash").alias("tx_count"))
 
 
-def fold_order(rows: DataFrame) -> DataFrame:
-    """``rank`` that puts outputs holding a 222 token before the other ones of a block."""
-    owner = F.col("hex").startswith(assets.LABEL_OWNER)
-    firsts = rows.filter(owner).select("utxo").distinct().withColumn("__first", F.lit(True))
-    return rows.join(firsts, "utxo", "left").withColumn(
-        "rank", F.when(F.col("__first"), 2).otherwise(3)
-    ).drop("__first")
-
-
 def minted_in_output(outputs: DataFrame, mints: DataFrame) -> DataFrame:
     """Assets of an output that its own transaction mints (quantity above zero).
 

@@ -37,8 +37,7 @@ def nest_and_flatten(spark, sf_dir):
     path = scratch_path(spark, "blocks")
     messages.write.json(path)
     blocks = normalize.only_block_type(landed.read_blocks(spark, path))
-    rows = normalize.tracked(normalize.flatten_blocks(blocks), ["Brand#1", "Brand#7", "Brand#13"])
-    ordered = normalize.fold_order(rows)
+    ordered = normalize.flatten_blocks(blocks, ["Brand#1", "Brand#7", "Brand#13"])
     label = assets.label_of(F.col("hex"))
     body = F.when(label.isNull(), F.col("hex")).otherwise(F.substring("hex", 9, 1 << 20))
     return ordered.groupBy(
