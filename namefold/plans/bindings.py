@@ -63,7 +63,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger with the output that held the asset before (the input of the event)."""
-    rows = scan.with_chunk(ledger(spark, sf_dir), "slot", SLOT_CHUNK)
+    rows = materialize(scan.with_chunk(ledger(spark, sf_dir), "slot", SLOT_CHUNK), "ledger")
     return scan.with_previous(
         rows, ["asset_id"], ["slot", "tx_id", "idx"], {"utxo": "prev_utxo", "slot": "prev_slot"}
     ).drop(scan.CHUNK)

@@ -161,7 +161,7 @@ SELECT name, amount, utxo, holder, updated AS updated_slot_number FROM (
 def stream_current_state(spark, sf_dir):
     rows = _feed_rows(spark, sf_dir)
     repeated = rows.unionByName(rows.filter(F.col("slot") % 10 == 3))  # delivered twice
-    job, batch = _run_feed(spark, repeated, 3, ingest.CurrentState)
+    job, batch = _run_feed(spark, repeated, 2, ingest.CurrentState)
     return job.records(batch).select("name", "amount", "utxo", "holder", "updated_slot_number")
 
 

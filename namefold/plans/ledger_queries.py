@@ -200,7 +200,7 @@ def double_mint_findings(spark, sf_dir):
 SELECT DISTINCT utxo, holder FROM ledger l WHERE is_burn = 0
   AND NOT EXISTS (SELECT 1 FROM moves m WHERE m.prev_utxo = l.utxo)""", "moves"))
 def live_utxos(spark, sf_dir):
-    rows = b.moves(spark, sf_dir)
+    rows = materialize(b.moves(spark, sf_dir), "moves")
     outputs = rows.filter("is_burn = 0").select("utxo", "holder").distinct()
     return state.live_outputs(outputs, rows.filter("prev_utxo is not null").select(F.col("prev_utxo").alias("utxo")))
 
@@ -209,7 +209,7 @@ def live_utxos(spark, sf_dir):
 SELECT asset_id, utxo, slot FROM ledger l WHERE is_burn = 0
   AND NOT EXISTS (SELECT 1 FROM moves m WHERE m.prev_utxo = l.utxo AND m.slot = l.slot)""", "moves"))
 def net_block_effect(spark, sf_dir):
-    rows = b.moves(spark, sf_dir)
+    rows = materialize(b.moves(spark, sf_dir), "moves")
     inputs = rows.filter("prev_utxo is not null").select(F.col("prev_utxo").alias("utxo"), "slot")
     return state.net_of_block(rows.filter("is_burn = 0").select("asset_id", "utxo", "slot"), inputs).select("asset_id", "utxo", "slot")
 
@@ -293,7 +293,7 @@ def restrict_to_names(spark, sf_dir):
 SELECT l.utxo, l.asset_id, l.holder, concat('L', l.asset_id % 3) AS label_key FROM ledger l
 WHERE is_burn = 0 AND l.asset_id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM moves m WHERE m.prev_utxo = l.utxo)""", "moves"))
 def unspent_asset_rows(spark, sf_dir):
-    rows = b.moves(spark, sf_dir)
+    rows = materialize(b.moves(spark, sf_dir), "moves")
     spent = rows.filter("prev_utxo is not null").select(F.col("prev_utxo").alias("utxo")).distinct().withColumn("is_spent", F.lit(True))
     outputs = rows.filter("is_burn = 0").select(
         "utxo", "asset_id", "holder", F.lit(b.TRACKED_POLICY).alias("policy"), F.col("asset_id").cast("string").alias("hex")
