@@ -22,7 +22,8 @@ def facet_rows(records: DataFrame, facets: dict[str, str] | None = None) -> Data
 
 
 def facet_counts(records: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:
-    return facet_rows(records, facets).groupBy("facet", "value").agg(F.count_distinct("name").alias("names"))
+    """Names per facet value. A record table has one row per name, so counts shrink map-side."""
+    return facet_rows(records, facets).groupBy("facet", "value").agg(F.count("*").alias("names"))
 
 
 def index_differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

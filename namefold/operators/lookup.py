@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
+from namefold.operators.joins import left_lookup
 
 
 def by_name(records: DataFrame, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def with_outputs(records: DataFrame, outputs: DataFrame, pointers: dict[str, str
     joined = records
     for pointer, prefix in pointers.items():
         side = outputs.select(F.col("utxo").alias(pointer), *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
-        joined = joined.join(side, pointer, "left")
+        joined = left_lookup(joined, side, pointer)
     return joined
 
 
@@ -86,8 +87,8 @@ def with_content(records: DataFrame, content: DataFrame, links: list[str]) -> Da
     """Replace ``ipfs://`` links by the landed content ``(cid, json)``; other links give null."""
     joined = records
     for link in links:
-        side = content.select(F.col("cid").alias("__cid"), F.col("json").alias(f"{link}_content"))
+        side = content.select(F.col("cid").alias("__link"), F.col("json").alias(f"{link}_content"))
         # A null never meets a row, so links of another kind stay out of the join.
         cid = F.when(F.col(link).startswith("ipfs://"), F.substring(F.col(link), 8, 1 << 20))
-        joined = joined.withColumn("__link", cid).join(side, F.col("__link") == F.col("__cid"), "left").drop("__link", "__cid")
+        joined = left_lookup(joined.withColumn("__link", cid), side, "__link").drop("__link")
     return joined

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
+from namefold.operators.joins import left_lookup
 
 
 def only_block_type(blocks: DataFrame, block_type: str = "praos") -> DataFrame:
@@ -117,7 +118,7 @@ def resolve_datum(outputs: DataFrame, datums: DataFrame) -> DataFrame:
     """Inline datum, else the one landed under the output's datum hash, else null."""
     by_hash = datums.groupBy("datum_hash").agg(F.min("datum").alias("__datum"))
     return (
-        outputs.join(by_hash, "datum_hash", "left")
+        left_lookup(outputs, by_hash, "datum_hash")
         .withColumn("datum", F.coalesce(F.nullif("inline_datum", F.lit("")), "__datum"))
         .drop("__datum")
     )
@@ -186,10 +187,13 @@ def expand_mints(sources: DataFrame, history: DataFrame, live_names: DataFrame)
     """
     indexable = sources.filter(assets.counts_as_mint(assets.label_of(F.col("hex"))))
     repeated = indexable.filter("mint_count > 1").select("policy", "hex", "mint_count")
+    # The keys with the transaction in them are balanced; the join by token alone
+    # comes last, where a token with very many mints can still be split.
     extra = (
-        history.filter("quantity > 0").join(repeated, ["policy", "hex"])
+        history.filter("quantity > 0").select("policy", "hex", "tx_hash").distinct()
         .join(indexable.select("policy", "hex", "tx_hash"), ["policy", "hex", "tx_hash"], "left_anti")
-        .select("policy", "hex", "tx_hash", "mint_count").distinct()
+        .join(repeated, ["policy", "hex"])
+        .select("policy", "hex", "tx_hash", "mint_count")
     )
     every = indexable.select("policy", "hex", "tx_hash", "mint_count").unionByName(extra)
     named = every.withColumn("name", assets.name_of_hex(F.col("hex")))

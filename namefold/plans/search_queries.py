@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namefold.functions import assets, attributes
-from namefold.operators import catalog, facets, holders, lookup, search
+from namefold.operators import catalog, facets, holders, lookup, search, state
+from namefold.operators.records import registry_listing, view
 from namefold.operators.search import SearchSpec
 from namefold.plans import bindings as b
 from namefold.plans.bindings import table, with_views
@@ -360,25 +361,31 @@ def validator_set(spark, sf_dir):
 
 
 @query("record_view", _sql("""
-SELECT name, hex, holder, rarity, CAST(og_number AS BIGINT) AS og_number, og_number > 0 AS og, utxo, concat('aa', asset_id) AS image_hash,
-  concat('bb', asset_id) AS bg_asset, '0' AS svg_version, 1 AS amount, is_personalized,
-  CASE WHEN asset_id % 10 = 0 THEN false WHEN handle_type = 'handle' THEN true END AS pz_enabled
+SELECT name, hex, holder, rarity, og_number, og_number > 0 AS og, utxo, concat('aa', asset_id % 4) AS image_hash,
+  CASE WHEN asset_id % 3 = 0 THEN concat('bb', asset_id) END AS bg_asset, '0' AS svg_version, 0 AS version,
+  asset_id % 4 <> 1 OR asset_id % 3 = 0 AS is_personalized,
+  CASE WHEN asset_id % 10 = 0 THEN false WHEN handle_type = 'handle' THEN true END AS pz_enabled, length, characters, handle_type, '' AS image
 FROM records WHERE asset_id % 23 <> 0"""))
 def record_view(spark, sf_dir):
     key = F.col("asset_id")
+    text = lambda value=None: F.lit(value).cast("string")
     rows = records(spark, sf_dir).select(
-        "*", F.concat(F.lit("0xaa"), key).alias("image_hash"), F.concat(F.lit("0xbb"), key).alias("bg_asset"),
-        F.when(key % 10 == 0, False).alias("pz_stored"), F.lit(None).cast("string").alias("svg_version"), F.lit(None).cast("int").alias("amount"),
+        "*", F.concat(F.lit("0xaa"), key % 4).alias("image_hash"), F.lit("0xaa1").alias("standard_image_hash"),
+        F.when(key % 3 == 0, F.concat(F.lit("0xbb"), key)).alias("bg_asset"), F.when(key % 10 == 0, False).alias("pz_enabled"),
+        text().alias("svg_version"), F.lit(None).cast("int").alias("version"), F.create_map(F.lit("ada"), F.col("address")).alias("resolved_addresses"),
+        F.lit(b.TRACKED_POLICY).alias("policy"), F.lit(False).alias("has_datum"), F.lit(None).cast("bigint").alias("last_edited_time"),
+        *[text().alias(c) for c in ("image", "standard_image", "pfp_image", "pfp_asset", "bg_image", "designer", "portal", "socials",
+                                    "last_update_address", "original_address", "virtual")],
     ).withColumn("utxo", F.when(key % 23 == 0, "").otherwise(F.col("utxo")))
-    return record_projection(rows)
-
-
-def record_projection(rows: DataFrame) -> DataFrame:
-    """The public columns of records that have an output."""
-    return rows.filter(F.col("utxo") != "").select(
-        "name", "hex", "holder", "rarity", attributes.og_number(F.col("og_number"), F.lit(None)).cast("bigint").alias("og_number"),
-        (F.col("og_number") > 0).alias("og"), "utxo", attributes.strip_0x(F.col("image_hash")).alias("image_hash"),
-        attributes.strip_0x(F.col("bg_asset")).alias("bg_asset"), F.coalesce("svg_version", F.lit("0")).alias("svg_version"),
-        F.coalesce("amount", F.lit(1)).alias("amount"), "is_personalized",
-        attributes.pz_enabled(F.col("handle_type"), F.col("pz_stored")).alias("pz_enabled"),
-    )
+    return view(rows).select(
+        "name", "hex", "holder", "rarity", "og_number", "og", "utxo", "image_hash", "bg_asset", "svg_version", "version", "is_personalized",
+        "pz_enabled", "length", "characters", "handle_type", "image")
+
+
+@query("registry_listing", """
+SELECT name, labels FROM (SELECT l_partkey AS name, string_agg(DISTINCT l_returnflag, '' ORDER BY l_returnflag) FILTER (WHERE l_returnflag <> 'N' AND l_quantity > 47) AS labels
+FROM lineitem GROUP BY l_partkey) WHERE labels <> ''""")
+def registry_listing_of_flags(spark, sf_dir):
+    flags = F.when(F.col("l_quantity") > 47, F.col("l_returnflag"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("name"), flags.alias("flag"))
+    return registry_listing(state.label_sets(rows, "name", "flag", ("A", "R")), "labels")
