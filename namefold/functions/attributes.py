@@ -89,10 +89,6 @@ def is_personalized(
     return checks | F.coalesce(extra, F.lit(False))
 
 
-def og_number(from_datum: Column, from_list: Column) -> Column:
-    return F.coalesce(from_datum, from_list, F.lit(0))
-
-
 def strip_0x(value: Column) -> Column:
     return F.regexp_replace(value, "^0x", "")
 

@@ -232,13 +232,14 @@ def _partial(events: DataFrame, outcomes: DataFrame, width: int) -> DataFrame:
     return fields.join(ends, "name", "left").withColumn("ended", F.coalesce("ended", F.lit(False)))
 
 
-def fold(events: DataFrame, mints: DataFrame, prior: DataFrame | None = None, *, count_double_mints: bool = True,
-         width: int = SLOT_CHUNK) -> DataFrame:
+def fold(events: DataFrame, mints: DataFrame, prior: DataFrame | None = None, *, og_list: DataFrame | None = None,
+         count_double_mints: bool = True, width: int = SLOT_CHUNK) -> DataFrame:
     """Current records of every name touched by prepared ``events``.
 
     With ``prior`` (an earlier result) the events continue from it and the result
     holds the touched names only, with ``exists = false`` where a record ended.
-    Without it the result holds the existing records.
+    Without it the result holds the existing records. ``og_list`` (``name,
+    og_number``) numbers the names whose datum has not set a number.
     """
     rows = events if prior is None else _drop_late(events, prior)
     counted = copy_counter(rows, prior, count_double_mints=count_double_mints, width=width)
@@ -248,6 +249,10 @@ def fold(events: DataFrame, mints: DataFrame, prior: DataFrame | None = None, *,
         old = prior.select("name", F.struct(*[c for c in prior.columns if c != "name"]).alias("old"))
         part = part.join(old, "name", "left").withColumn("old", F.when(~F.col("ended"), F.col("old")))
     part = part.join(first_mint(mints).select("name", F.col("created_slot").alias("minted")), "name", "left")
+    if og_list is None:
+        part = part.withColumn("listed_og", F.lit(0))
+    else:
+        part = part.join(og_list.select("name", F.col("og_number").alias("listed_og")), "name", "left")
     records = _records(part, old is not None)
     if prior is not None:
         return records
@@ -318,7 +323,7 @@ def _records(part: DataFrame, has_old: bool) -> DataFrame:
         F.greatest(F.col("updated"), *([old("updated_slot_number")] if has_old else [F.lit(None)]),
                    *([F.when(F.col("old").isNull(), first["slot"])] if has_old else [first["slot"]]))
         .alias("updated_slot_number"),
-        attr("og_number", F.lit(0)), attr("image", F.lit("")), attr("version", F.lit(0)),
+        attr("og_number", F.coalesce(F.col("listed_og"), F.lit(0)).cast("bigint")), attr("image", F.lit("")), attr("version", F.lit(0)),
         attr("image_hash", F.lit("")), attr("standard_image_hash", F.lit("")), attr("standard_image", F.lit("")),
         attr("svg_version", F.lit("0")),
         *[attr(f) for f in personal],

@@ -97,8 +97,8 @@ def missed_blocks(spark, sf_dir):
     canonical = b.blocks(spark, sf_dir)
     cursor_hash = _hash_of_day("1995-01-01")
     unseen = reconcile.missed_blocks(canonical, b.scanned(spark, sf_dir), (2000, cursor_hash))
-    touched = b.ledger(spark, sf_dir).select("slot", "asset_id")
-    return unseen.join(touched, "slot", "left").groupBy("height", "slot").agg(F.count_distinct("asset_id").alias("names"))
+    touched = b.ledger(spark, sf_dir).groupBy("slot").agg(F.count_distinct("asset_id").alias("names"))
+    return unseen.join(touched, "slot", "left").select("height", "slot", F.coalesce("names", F.lit(0)).alias("names"))
 
 
 def _hash_of_day(day: str) -> str:
@@ -148,10 +148,9 @@ def repair_outputs(spark, sf_dir):
 
 @query("repair_records", with_views("""
 WITH kept AS (SELECT * FROM asset_events WHERE kind IN ('owner', 'burn'))
-SELECT name, max(amount) AS amount FROM (
-  SELECT name, CAST(1 AS BIGINT) AS amount, slot, kind,
-    row_number() OVER (PARTITION BY name ORDER BY slot DESC, rank DESC, tx_id DESC, idx DESC, hex DESC) AS rn FROM kept)
-WHERE rn = 1 AND kind = 'owner' GROUP BY name""", "asset_events"))
+SELECT k.name, CAST(1 AS BIGINT) AS amount, n.asset_id % 10 = 7 AS stale FROM (
+  SELECT name, kind, row_number() OVER (PARTITION BY name ORDER BY slot DESC, rank DESC, tx_id DESC, idx DESC, hex DESC) AS rn FROM kept) k
+JOIN names n ON n.name = k.name WHERE rn = 1 AND kind = 'owner'""", "asset_events"))
 def repair_records(spark, sf_dir):
     """Affected names are refolded without counting their mints twice; the others stay."""
     events = state.prepare(b.asset_events(spark, sf_dir).filter(F.col("kind").isin("owner", "burn")))
@@ -160,7 +159,8 @@ def repair_records(spark, sf_dir):
     folded = materialize(state.fold(events, mints, count_double_mints=False, width=b.SLOT_CHUNK), "records")
     affected = b.names(spark, sf_dir).filter(F.col("asset_id") % 10 == 2).select("name")
     stored = folded.withColumn("utxo", F.when(F.col("name").startswith("-"), "stale#0").otherwise(F.col("utxo")))
-    return repair.repair_records(stored, events, mints, affected, width=b.SLOT_CHUNK).filter("utxo <> 'stale#0' or name like '-%'").select("name", "amount")
+    return repair.repair_records(stored, events, mints, affected, width=b.SLOT_CHUNK).select(
+        "name", "amount", (F.col("utxo") == "stale#0").alias("stale"))
 
 
 _MINTS_AT = "mints AS (SELECT DISTINCT concat('n', asset_id) AS name, slot AS created_slot, tx_id FROM ledger WHERE tx_id % 5 = 0)"
@@ -356,6 +356,22 @@ def asof_owner(spark, sf_dir):
     return repair.asof_owner(events, 1200, ["asset_id"], ["slot", "tx_id", "idx"], ["holder", "utxo"], minted_or_burned)
 
 
+@query("asof_by_inputs", with_views("""
+WITH last AS (SELECT asset_id AS token, max(CASE WHEN slot > 1200 AND (is_burn = 1 OR tx_id % 50 = 0) THEN 1 ELSE 0 END) AS changed,
+    arg_max(concat(utxo, '/', asset_id), (slot, tx_id, idx)) FILTER (WHERE slot <= 1200) AS held FROM ledger GROUP BY asset_id)
+SELECT token, CASE WHEN changed = 0 THEN held END AS utxo,
+  CASE WHEN changed = 1 THEN 'supply_changed' WHEN held IS NULL THEN 'no_unique_output' ELSE 'ok' END AS status FROM last""", "ledger"))
+def asof_by_inputs(spark, sf_dir):
+    own = lambda utxo: F.concat(utxo, F.lit("/"), F.col("asset_id"))  # noqa: E731 - one output per token
+    rows = materialize(b.moves(spark, sf_dir), "moves")
+    holdings = rows.select(F.col("asset_id").alias("token"), own("utxo").alias("utxo"), "slot")
+    newest = rows.groupBy("asset_id").agg(F.max_by(F.struct("utxo", "slot"), F.struct("slot", "tx_id", "idx")).alias("e"))
+    current = newest.select(F.col("asset_id").alias("token"), own(F.col("e.utxo")).alias("utxo"), "e.slot")
+    inputs = rows.filter("prev_utxo is not null").select(own("prev_utxo").alias("utxo"), "slot")
+    supply = rows.filter("is_burn = 1 or tx_id % 50 = 0").select(F.col("asset_id").alias("token"), "slot")
+    return repair.asof_by_inputs(current, holdings, inputs, supply, 1200)
+
+
 @query("output_tx_agreement", with_views("""
 SELECT utxo, CASE WHEN tx_id % 101 = 0 THEN 'missing_output' WHEN tx_id % 103 = 0 THEN 'duplicated_output'
     WHEN tx_id % 107 = 0 THEN 'address_or_value' ELSE 'assets' END AS finding

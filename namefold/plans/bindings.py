@@ -41,24 +41,24 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per asset moved by an output (an output may hold several assets)."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice"
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", slot_of("o_orderdate").alias("slot"))
+    """One row per asset moved by an output (an output may hold several assets).
+
+    Lines are summed up before the join: their three keys spread evenly even if
+    one order holds very many, and the join after it can be split.
+    """
     burn = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 1).otherwise(0)
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(
-            F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("asset_id"),
-            "slot", F.col("o_custkey").alias("holder"),
-        )
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("asset_id"))
         .agg(
             F.max(burn).alias("is_burn"),
             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("value"),
         )
-        .withColumn("utxo", F.concat_ws("#", "tx_id", "idx"))
     )
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("holder"), slot_of("o_orderdate").alias("slot")
+    )
+    return lines.join(orders, "tx_id").withColumn("utxo", F.concat_ws("#", "tx_id", "idx"))
 
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("height").cast("bigint").alias("height"), slot_of("dt").alias("slot"),
         F.md5(F.col("dt").cast("string")).alias("hash"), "tx_count",
     )
+    hashed = materialize(hashed, "blocks")
     parents = hashed.select((F.col("height") + 1).alias("height"), F.col("hash").alias("parent"))
     return hashed.join(parents, "height", "left").select("height", "slot", "hash", "parent", "tx_count")
 

@@ -135,6 +135,8 @@ def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger
     """Land the feed slice by slice and resume the same job after each."""
     feed = scratch_path(spark, "feed")
     job = kind(spark, scratch_path(spark, "work"))
+    if isinstance(job, ingest.CurrentState):
+        job.policies = (b.TRACKED_POLICY,)
     top = rows.agg(F.max("seq")).first()[0] + 1
     for part in range(slices):
         rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)).write.mode("append").json(feed)
@@ -161,6 +163,8 @@ SELECT name, amount, utxo, holder, updated AS updated_slot_number FROM (
 def stream_current_state(spark, sf_dir):
     rows = _feed_rows(spark, sf_dir)
     repeated = rows.unionByName(rows.filter(F.col("slot") % 10 == 3))  # delivered twice
+    foreign = rows.filter(F.col("slot") % 10 == 6).withColumn("policy", F.lit("untracked")).withColumn("hex", F.lit("00"))
+    repeated = repeated.unionByName(foreign)
     job, batch = _run_feed(spark, repeated, 2, ingest.CurrentState)
     return job.records(batch).select("name", "amount", "utxo", "holder", "updated_slot_number")
 

@@ -160,7 +160,8 @@ folded AS (
     CASE WHEN e.kind NOT IN ('burn', 'label_burn') AND f.amount = 0 THEN coalesce(m.slot, e.slot) ELSE f.created END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN NULL WHEN e.kind IN ('reference', 'virtual') THEN e.utxo ELSE f.reference_utxo END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind IN ('reference', 'virtual') AND e.has_datum THEN concat('img', e.tx_id) ELSE f.image END,
-    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN 0 WHEN e.kind IN ('reference', 'virtual') AND e.has_datum THEN e.tx_id % 3 ELSE f.og END,
+    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN 0 WHEN e.kind IN ('reference', 'virtual') AND e.has_datum THEN e.tx_id % 3
+         WHEN f.amount = 0 AND e.kind NOT IN ('burn', 'label_burn') THEN coalesce(g.og_number, 0) ELSE f.og END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN NULL WHEN e.kind = 'settings' AND e.has_datum THEN e.utxo ELSE f.settings_utxo END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind = 'settings' THEN '00001070' WHEN e.kind = 'label_burn' THEN '' ELSE f.labels END,
     CASE WHEN e.kind = 'burn' THEN f.amount > 1 AND f.is_default WHEN e.kind = 'label_burn' THEN f.is_default
@@ -168,7 +169,8 @@ folded AS (
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN false WHEN e.kind = 'owner' THEN e.has_datum ELSE f.has_datum END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN false WHEN e.kind = 'virtual' THEN true ELSE f.is_virtual END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN NULL WHEN e.kind IN ('reference', 'virtual') AND e.has_datum THEN concat('b', e.tx_id) ELSE f.btc END
-  FROM folded f JOIN ordered e ON e.name = f.name AND e.n = f.n + 1 LEFT JOIN minted m ON m.name = f.name)
+  FROM folded f JOIN ordered e ON e.name = f.name AND e.n = f.n + 1 LEFT JOIN minted m ON m.name = f.name
+    LEFT JOIN (SELECT name, og_number FROM names WHERE og_number > 0) g ON g.name = f.name)
 SELECT name, amount, hex, utxo, address, holder, updated AS updated_slot_number, created AS created_slot_number, reference_utxo, image,
   og AS og_number, settings_utxo, labels AS registry_labels, is_default, has_datum, btc,
   CASE WHEN is_virtual THEN 'virtual_subhandle' WHEN contains(name, '@') THEN 'nft_subhandle' ELSE 'handle' END AS handle_type
@@ -179,7 +181,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC) AS last FR
 def state_fold(spark, sf_dir):
     raw = b.asset_events(spark, sf_dir)
     events = materialize(state.prepare(raw), "events")
-    folded = state.fold(events, b.mint_records(events), width=b.SLOT_CHUNK)
+    og_list = b.names(spark, sf_dir).filter("og_number > 0")
+    folded = state.fold(events, b.mint_records(events), og_list=og_list, width=b.SLOT_CHUNK)
     return folded.select(
         "name", "amount", "hex", "utxo", "address", "holder", "updated_slot_number", "created_slot_number", "reference_utxo", "image",
         "og_number", F.col("settings.utxo_id").alias("settings_utxo"), "registry_labels", F.col("default").alias("is_default"), "has_datum",

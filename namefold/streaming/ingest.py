@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
-from namefold.operators import state
+from namefold.operators import normalize, state
 from namefold.scratch import materialize
 from namefold.sources import landed
 
@@ -145,6 +145,7 @@ class BlockLedger:
 class CurrentState(BlockLedger):
     """Keeps the current record of every name."""
 
+    policies: tuple[str, ...] = ()  # tracked ones; all if empty
     compact_every: int = 20
 
     def _newest(self, upto: int) -> DataFrame:
@@ -163,6 +164,8 @@ class CurrentState(BlockLedger):
 
     def apply(self, released: DataFrame, batch: int) -> int:
         once = distinct_events(released)
+        if self.policies:
+            once = normalize.tracked(once, self.policies)
         every = fold_events(once)
         events = state.prepare(state.net_of_block(every, spent_outputs(once))).persist()
         touched = events.select("name").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import catalog, chain, fingerprint, lookup, normalize, reconcile, repair, search
+from namefold.operators.joins import left_lookup
 from namefold.operators.search import SearchSpec
 
 
@@ -185,3 +186,10 @@ def test_output_disagreements_see_swapped_assets(spark):
     swapped = frame(spark, schema, ("u", "a", 1, "p", "x", 2), ("u", "a", 1, "p", "y", 1), ("w", "a", 1, "p", "x", 1))
     assert reconcile.output_disagreements(rows, rows).isEmpty()
     assert [tuple(r) for r in reconcile.output_disagreements(rows, swapped).collect()] == [("u", "assets")]
+
+
+def test_rows_without_a_key_keep_their_place_in_lookups(spark):
+    rows = frame(spark, "n int, k string", (1, "a"), (2, None), (3, None), (4, "z")).withColumn("m", F.create_map(F.lit("x"), "n"))
+    side = frame(spark, "k string, v int", ("a", 10), (None, 20))
+    out = {r["n"]: (r["k"], r["v"]) for r in left_lookup(rows, side, "k").collect()}
+    assert out == {1: ("a", 10), 2: (None, None), 3: (None, None), 4: ("z", None)}

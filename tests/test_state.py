@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import facets, holders, scan, state
+from namefold.operators.records import view
 
 LABELS = {"owner": assets.LABEL_OWNER, "plain": None, "virtual": assets.LABEL_VIRTUAL, "settings": assets.LABEL_SETTINGS,
           "reference": assets.LABEL_REFERENCE, "other": assets.LABEL_002}
@@ -199,3 +200,19 @@ def test_moved_names_leave_no_index_entry(spark):
     assert facets.index_differences(make(owner), make(owner)).count() == 0
     changed = sum(stored[n] != owner[n] for n in owner)
     assert facets.index_differences(make(stored), make(owner)).count() == 2 * changed
+
+
+def test_listed_numbers_yield_to_the_datum(spark):
+    listed = spark.createDataFrame([("old", 3), ("own", 4)], "name string, og_number bigint")
+    rows = [event("old", "owner", 1, mint=True), event("own", "owner", 1, mint=True), event("own", "reference", 2, datum=PZ % "false"),
+            event("new", "owner", 1, mint=True)]
+    assert {n: r["og_number"] for n, r in by_name(fold(spark, rows, og_list=listed)).items()} == {"old": 3, "own": 7, "new": 0}
+
+
+def test_view_of_folded_records(spark):
+    rows = [event("plain", "owner", 1, mint=True), event("art", "owner", 1, mint=True), event("art", "reference", 2, datum=PZ % "false"),
+            event("sub@root", "owner", 1, mint=True), event("pending", "settings", 1, datum=SETTINGS)]
+    out = by_name(view(fold(spark, rows)))
+    assert set(out) == {"plain", "art", "sub@root"}  # no output, no view
+    assert out["plain"]["pz_enabled"] and out["sub@root"]["pz_enabled"] is None
+    assert out["art"]["is_personalized"] and not out["plain"]["is_personalized"] and out["sub@root"]["sub_length"] == 3
