@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 _NUMBER = r"^-?\d+(\.\d+)?$"
 
 
@@ -122,13 +130,6 @@ def script_name(name: Column, root: str) -> Column:
     )
 
 
-_TIER = "public_minting_enabled BOOLEAN, pz_enabled BOOLEAN, tier_pricing STRING, default_styles STRING, save_original_address BOOLEAN"
-SETTINGS_TYPE = (
-    f"STRUCT<nft: STRUCT<{_TIER}>, virtual: STRUCT<{_TIER}>, buy_down_price: BIGINT, buy_down_paid: BIGINT,"
-    " buy_down_percent: BIGINT, agreed_terms: STRING, migrate_sig_required: BOOLEAN, payment_address: STRING>"
-)
-
-
 def _flag(text: Column) -> Column:
     return text.isin("true", "1")
 
@@ -138,10 +139,8 @@ def settings_struct(datum_json: Column) -> Column:
 
     The list is two five-element lists (nft, virtual) and six scalars.
     """
-    items = F.from_json(datum_json, "array<string>")
 
-    def tier(position: int) -> Column:
-        values = F.from_json(F.try_element_at(items, F.lit(position)), "array<string>")
+    def tier(values: Column) -> Column:
         at = [F.try_element_at(values, F.lit(i)) for i in range(1, 6)]
         return F.struct(
             _flag(at[0]).alias("public_minting_enabled"),
@@ -151,17 +150,20 @@ def settings_struct(datum_json: Column) -> Column:
             _flag(at[4]).alias("save_original_address"),
         )
 
-    at = {i: F.try_element_at(items, F.lit(i)) for i in range(3, 9)}
-    return F.struct(
-        tier(1).alias("nft"),
-        tier(2).alias("virtual"),
-        at[3].try_cast("bigint").alias("buy_down_price"),
-        at[4].try_cast("bigint").alias("buy_down_paid"),
-        at[5].try_cast("bigint").alias("buy_down_percent"),
-        at[6].alias("agreed_terms"),
-        _flag(at[7]).alias("migrate_sig_required"),
-        at[8].alias("payment_address"),
-    )
+    def named(items: Column) -> Column:
+        at = {i: F.try_element_at(items, F.lit(i)) for i in range(1, 9)}
+        return F.struct(
+            _let(F.from_json(at[1], "array<string>"), tier).alias("nft"),
+            _let(F.from_json(at[2], "array<string>"), tier).alias("virtual"),
+            at[3].try_cast("bigint").alias("buy_down_price"),
+            at[4].try_cast("bigint").alias("buy_down_paid"),
+            at[5].try_cast("bigint").alias("buy_down_percent"),
+            at[6].alias("agreed_terms"),
+            _flag(at[7]).alias("migrate_sig_required"),
+            at[8].alias("payment_address"),
+        )
+
+    return _let(F.from_json(datum_json, "array<string>"), named)
 
 
 _ATTRIBUTES = (
@@ -174,14 +176,24 @@ _ATTRIBUTES = (
 )
 
 
+_PERSONAL = (
+    "bg_image", "bg_asset", "pfp_image", "pfp_asset", "last_update_address", "original_address", "id_hash", "pz_enabled",
+    "last_edited_time", "portal", "designer", "socials", "resolved_addresses", "virtual",
+)
+
+
 def datum_attributes(datum_json: Column) -> Column:
     """Attributes of a decoded ``[nft, version, project]`` datum; any other shape is null."""
-    items = F.from_json(datum_json, "array<string>")
-    nft = F.from_json(F.try_element_at(items, F.lit(1)), _ATTRIBUTES[0])
-    project = F.from_json(F.try_element_at(items, F.lit(3)), _ATTRIBUTES[1])
-    return F.when(
-        F.size(items) == 3,
-        F.struct(
+
+    def parsed(items: Column) -> Column:
+        return F.when(F.size(items) == 3, F.struct(
+            F.from_json(F.try_element_at(items, F.lit(1)), _ATTRIBUTES[0]).alias("nft"),
+            F.from_json(F.try_element_at(items, F.lit(3)), _ATTRIBUTES[1]).alias("project"),
+        ))
+
+    def named(datum: Column) -> Column:
+        nft, project = datum["nft"], datum["project"]
+        return F.when(datum.isNotNull(), F.struct(
             F.coalesce(nft["og_number"], F.lit(0)).alias("og_number"),
             F.coalesce(nft["image"], F.lit("")).alias("image"),
             nft["version"].alias("version"),
@@ -190,13 +202,7 @@ def datum_attributes(datum_json: Column) -> Column:
             F.coalesce(project["standard_image"], F.lit("")).alias("standard_image"),
             F.coalesce(project["svg_version"], F.lit("")).alias("svg_version"),
             F.coalesce(project["default"], F.lit(False)).alias("default"),
-            *[
-                project[f].alias(f)
-                for f in (
-                    "bg_image", "bg_asset", "pfp_image", "pfp_asset", "last_update_address",
-                    "original_address", "id_hash", "pz_enabled", "last_edited_time",
-                    "portal", "designer", "socials", "resolved_addresses", "virtual",
-                )
-            ],
-        ),
-    )
+            *[project[f].alias(f) for f in _PERSONAL],
+        ))
+
+    return _let(_let(F.from_json(datum_json, "array<string>"), parsed), named)
