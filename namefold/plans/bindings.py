@@ -169,7 +169,8 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spent_here = inputs.withColumn("__spent", F.lit(True))
     burn_row = F.col("kind").isin("burn", "label_burn")
-    return events.join(spent_here, ["utxo", "slot"], "left").filter(burn_row | F.col("__spent").isNull()).drop("__spent")
+    net = events.join(spent_here, ["utxo", "slot"], "left").filter(burn_row | F.col("__spent").isNull()).drop("__spent")
+    return materialize(net, "asset_events")
 
 
 def _pz_datum() -> Column:
