@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ class GapError(ValueError):
     """The feed skipped a block height."""
 
 
+class UndoneStateError(RuntimeError):
+    """Tables hold blocks that the chain has taken back."""
+
+
 def complete_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of blocks that have a successor, and the rows of the newest block."""
     top = rows.agg(F.max("height")).scalar()
@@ -107,6 +112,27 @@ class BlockLedger:
         row = self._read("status", [batch]).first()
         return row["last_height"], row["halted"]
 
+    def _resumed(self, batch: int) -> DataFrame | None:
+        """Held rows as `resume` left them, if it was called after this batch."""
+        try:
+            return self._read("resumed", [batch])
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def resume(self, batch: int) -> None:
+        """Go on after an undo that ended batch ``batch``: rows of undone blocks are
+        dropped from the held ones. If an undone block was applied, the tables
+        are wrong from it on; then rebuild or repair into a new work folder."""
+        if not self.undo_log(batch).filter("applied").isEmpty():
+            raise UndoneStateError("an undone block was already applied")
+        held = self._read("held", [batch]).drop("batch")
+        undone = held.filter(F.col("action") == "undo").groupBy("hash").agg(F.max("seq").alias("__until"))
+        kept = held.filter(F.col("action") == "apply").join(undone, "hash", "left").filter(
+            F.coalesce(F.col("seq") > F.col("__until"), F.lit(True))).select(*held.columns)
+        self._write(kept, "resumed", batch)
+
     def process(self, rows: DataFrame, batch: int) -> None:
         """Apply one micro-batch. After an undo nothing more is applied: blocks
         before it are, the rest is held until a repair has compared the state
@@ -114,7 +140,10 @@ class BlockLedger:
         last_height, halted = self._status(batch - 1)
         rows = rows.select(*[f.split(" ")[0] for f in landed.EVENT_SCHEMA.split(", ")])
         if batch > 0:
-            rows = rows.unionByName(self._read("held", [batch - 1]).drop("batch"))
+            resumed = self._resumed(batch - 1) if halted else None
+            halted = halted and resumed is None
+            held = self._read("held", [batch - 1]) if resumed is None else resumed
+            rows = rows.unionByName(held.drop("batch"))
         rows = rows.persist()
         try:
             early, late = before_undo(rows)

@@ -59,17 +59,32 @@ def test_a_gap_stops_the_job(spark, tmp_path):
         ingest.run(job, str(feed))
 
 
-def test_an_undo_halts_until_a_repair(spark, tmp_path):
+def test_an_undo_halts_until_resumed(spark, tmp_path):
     feed, job = tmp_path / "feed", ingest.BlockLedger(spark, str(tmp_path / "work"))
-    land(feed, 1, [row(1, 1), row(2, 2), row(3, 3), row(4, 3, action="undo"), row(5, 4), row(6, 5)])
+    land(feed, 1, [row(1, 1), row(2, 2), row(3, 3), row(4, 3, action="undo"), row(5, 3) | {"hash": "c3"}, row(6, 4)])
     ingest.run(job, str(feed))
-    land(feed, 2, [row(7, 6), row(8, 7)])
+    land(feed, 2, [row(7, 5)])
     ingest.run(job, str(feed))
     last = ingest.last_batch(job)
     assert sorted(r["height"] for r in job.table("blocks", last).collect()) == [1, 2]
     assert [(r["height"], r["applied"]) for r in job.undo_log(last).collect()] == [(3, False)]
     assert job.table("status", last).filter(f"batch = {last}").first()["halted"]
-    assert job.table("held", last).filter(f"batch = {last}").count() == 6
+    assert job.table("held", last).filter(f"batch = {last}").count() == 5
+    job.resume(last)
+    land(feed, 3, [row(8, 6)])
+    ingest.run(job, str(feed))
+    last = ingest.last_batch(job)
+    assert sorted((r["height"], r["hash"]) for r in job.table("blocks", last).collect()) == [(1, "b1"), (2, "b2"), (3, "c3"), (4, "b4"), (5, "b5")]
+    assert not job.table("status", last).filter(f"batch = {last}").first()["halted"]
+
+
+def test_an_applied_block_cannot_be_undone_in_place(spark, tmp_path):
+    feed, job = tmp_path / "feed", ingest.BlockLedger(spark, str(tmp_path / "work"))
+    land(feed, 1, [row(1, 1), row(2, 2), row(3, 3), row(4, 2, action="undo")])
+    job.process(landed.read_events(spark, str(feed)), 0)
+    assert [(r["height"], r["applied"]) for r in job.undo_log(0).collect()] == [(2, True)]
+    with pytest.raises(ingest.UndoneStateError):
+        job.resume(0)
 
 
 def test_one_document_snapshot(spark, tmp_path):
