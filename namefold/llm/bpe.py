@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +28,11 @@ from namefold.llm.common import whole_text
 #: The pattern that splits text into words before merging; part of the vocabulary's definition.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
+_NONE = 1 << 62
 #: Words up to this length are remembered, at most so many of them at a time.
 REMEMBERED_LENGTH, REMEMBERED = 64, 800_000
 GROUP_CHARS = 1 << 20
+_ADJACENT, _SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +67,7 @@ class Bpe:
             a, b, whole = self.ids[left], self.ids[right], self.ids[left + right]
             self.merges.setdefault((a, b), (rank, whole))
             halves.setdefault(whole, (a, b, rank))
+        self.packed = {a * self.size + b: rank * self.size + whole for (a, b), (rank, whole) in self.merges.items()}
         codes = np.array([a * self.size + b for a, b in self.merges], np.int64)
         order = np.argsort(codes)
         self.codes, self.ranks = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
@@ -72,7 +76,8 @@ class Bpe:
         # Only tokens that merging their own bytes gives back may be proposed.
         self.proposed = {word: k for word, k in self.ids.items() if len(word) == 1 or self.merge(word) == [k]}
         self.starts = {word[:k] for word in self.proposed for k in range(1, len(word) + 1)}
-        self.memory: dict[str, bytes] = dict(self.special)
+        self.memory: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _edge(self, halves: dict[int, tuple[int, int, int]], side: int) -> tuple[np.ndarray, np.ndarray]:
         """Per token the tokens on one edge, itself first, and the rank at which each is consumed; padded with -1."""
@@ -91,9 +96,21 @@ class Bpe:
         return edge, until_rank
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: always the lowest rank, the leftmost first; a heap over a linked list."""
+        """Exact merging: always the lowest rank, the leftmost first. Long words use a heap over a linked list."""
         token = [self.single[b] for b in word]
         n = len(token)
+        if n <= REMEMBERED_LENGTH:
+            found, size = self.packed.get, self.size
+            ranks = [found(a * size + b, _NONE) for a, b in zip(token, token[1:])]
+            while ranks and (best := min(ranks)) < _NONE:
+                i = ranks.index(best)
+                token[i : i + 2] = [best % size]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = found(token[i] * size + token[i + 1], _NONE)
+                if i:
+                    ranks[i - 1] = found(token[i - 1] * size + token[i], _NONE)
+            return token
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(found[0], i, token[i], token[i + 1]) for i in range(n - 1) if (found := self.merges.get((token[i], token[i + 1])))]
         heapq.heapify(heap)
@@ -171,19 +188,42 @@ class Bpe:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [[(part, part in self.special) for part in (self.borders.split(text) if self.borders else [text]) if part] for text in texts]
-        words = [[[part] if special else self.words.findall(part) for part, special in parts] for parts in cut]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-            self.memory.update(self.special)
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        pieces = self.pieces
+        cut = [self._cut(text) for text in texts]
+        new = {p for parts in cut for part in parts for p in part[1:] if p not in pieces}
+        heads = {part[0] for parts in cut for part in parts if part[0] not in self.special}
+        words = {p: self.words.findall(f" {p}") for p in new}
+        first = {p: self.words.findall(p) for p in heads}
         memory = self.memory
-        new = {w for parts in words for part in parts for w in part if w not in memory}
-        memory.update(self.learn(list(new)))
-        for parts in words:
-            yield b"".join([memory[w] for part in parts for w in part])
-        for w in new:
-            if len(w) > REMEMBERED_LENGTH:
-                del memory[w]
+        unknown = {w for found in (words, first) for several in found.values() for w in several if w not in memory}
+        memory.update(self.learn(list(unknown)))
+        pieces.update((p, b"".join([memory[w] for w in found])) for p, found in words.items())
+        starts = self.special | {p: b"".join([memory[w] for w in found]) for p, found in first.items()}
+        for parts in cut:
+            yield b"".join([starts[part[0]] + b"".join([pieces[p] for p in part[1:]]) for part in parts])
+        for known, fresh in ((memory, unknown), (pieces, new)):
+            for w in fresh:
+                if len(w) > REMEMBERED_LENGTH:
+                    del known[w]
+
+    def _cut(self, text: str) -> list[list[str]]:
+        """Parts between added tokens, and these tokens; each part in pieces cut at single spaces between other characters.
+
+        Such a space always begins a word of the pattern, so pieces have words of their own. It is left out of all pieces but a part's first.
+        """
+        parts = self.borders.split(text) if self.borders and any(word in text for word in self.special) else [text]
+        out = []
+        for part in parts:
+            if part in self.special:
+                out.append([part])
+            elif part:
+                plain = not (part[0].isspace() or part[-1].isspace() or _ADJACENT.search(part))
+                out.append(part.split(" ") if plain else _SINGLE.split(part))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
