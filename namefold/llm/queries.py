@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, exact_dedup, line_dedup, mixing, quality_net, quality_rules, simhash, toxicity
+from namefold.llm import bpe, exact_dedup, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import table
 from namefold.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIXING_SQL, QUALITY_RULES_SQL
 
@@ -70,6 +70,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary()).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op9_line_dedup", LINE_DEDUP_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
