@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, exact_dedup, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm import bpe, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import table
 from namefold.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIXING_SQL, QUALITY_RULES_SQL
 
@@ -77,6 +77,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_html_blocks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 @query("op9_line_dedup", LINE_DEDUP_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
