@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(whole_text(text))
 
 
+def text_groups(texts: pa.Array, characters: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of a batch in lists of about so many characters, so that a worker never holds a whole batch as Python objects."""
+    group, weight = [], 0
+    for k in range(len(texts)):
+        group.append(texts[k].as_py())
+        weight += len(group[-1])
+        if weight >= characters:
+            yield group
+            group, weight = [], 0
+    if group:
+        yield group
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled documents of each class, never of the held-out fold: (doc_id, text, y).
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namefold.llm.common import crc_fold, training_rows, whole_text
+from namefold.llm.common import crc_fold, text_groups, training_rows, whole_text
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 #: Bound of the training sample: at most so many labelled documents of each class are read by the driver.
@@ -24,7 +24,7 @@ WIDTH, EMBED, FILTERS = 6, 8, 16
 #: Positions are pooled in cells; a chunk is CHUNK cells and the next starts STRIDE cells later.
 CELL, CHUNK, STRIDE = 64, 8, 4
 EPOCHS, BATCH, RATE, DECAY, SEED = 14, 25, 0.02, 1e-4, 7
-_PIECE_CELLS = 1 << 12
+_PIECE_CELLS = 1 << 10
 
 
 def cells_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,18 +171,13 @@ def scorer(net: Net):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = net.tables()
         for texts in batches:
-            out, group, weight = [], [], 0
-            for text in [*texts.to_pylist(), None]:
-                if text is not None:
-                    group.append(text.encode("utf-8", "replace"))
-                    weight += len(group[-1])
-                if group and (text is None or weight >= 1 << 20):
-                    data, counts = cells_of(group)
-                    first, last, owner = chunks_of(counts)
-                    maxima = cell_maxima(tables, data)
-                    logit = net.combine(pool(maxima, first, last).astype(np.float64), owner, counts)[0]
-                    out.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-                    group, weight = [], 0
+            out = []
+            for group in text_groups(texts):
+                data, counts = cells_of([t.encode("utf-8", "replace") for t in group])
+                first, last, owner = chunks_of(counts)
+                maxima = cell_maxima(tables, data)
+                logit = net.combine(pool(maxima, first, last).astype(np.float64), owner, counts)[0]
+                out.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             yield pa.array(np.concatenate(out) if out else np.empty(0))
 
     return score
