@@ -30,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NEVER = 1 << 30
 _NONE = 1 << 62
 #: Words up to this length are remembered, at most so many of them at a time.
-REMEMBERED_LENGTH, REMEMBERED = 64, 800_000
+REMEMBERED_LENGTH, REMEMBERED = 64, 400_000
 GROUP_CHARS = 1 << 20
 _ADJACENT, _SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
