@@ -30,15 +30,16 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     partial), and a row only where its group is not yet alone. A hot group is
     one row on the counted side of the join, so its rows may be split at will.
     """
-    body = F.col("body")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), whole_text(F.col(text)).cast("binary").alias("body"))
-    rows = rows.select("row", "id", F.length("body").alias("n"), F.substring("body", 1, FIRST_SLICE).alias("digit"), F.sha2("body", 256).alias("text_sha256"), "body")
+    # The bytes are read off the row at each level: no second copy of a text is shuffled or written.
+    body = whole_text(F.col("row").getField(text)).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"))
+    rows = rows.select("row", "id", F.length(body).alias("n"), F.substring(body, 1, FIRST_SLICE).alias("digit"), F.sha2(body, 256).alias("text_sha256"))
     shared = materialize(
         rows.groupBy("n", "digit").agg(F.count("*").alias("members")).where("members > 1").select("n", "digit", F.monotonically_increasing_id().alias("grp")), "radix",
     )
     alone = rows.join(shared, ["n", "digit"], "left_anti").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     active = materialize(
-        rows.join(shared, ["n", "digit"]).select("row", "id", "n", "text_sha256", "grp", "body", F.monotonically_increasing_id().alias("seq")), "radix",
+        rows.join(shared, ["n", "digit"]).select("row", "id", "n", "text_sha256", "grp", F.monotonically_increasing_id().alias("seq")), "radix",
     )
     longest = active.agg(F.max("n")).first()[0]
     parts, at, width = [alone], FIRST_SLICE, FIRST_SLICE * GROWTH
@@ -58,7 +59,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         ))
         if longest <= at:
             break
-        active = split.where(~ended).select("row", "id", "n", "text_sha256", "grp", "body", "seq")
+        active = split.where(~ended).select("row", "id", "n", "text_sha256", "grp", "seq")
         width *= GROWTH
     out = parts[0]
     for part in parts[1:]:
