@@ -35,14 +35,14 @@ def hex_of_name(name: Column) -> Column:
 
 def name_of_hex(hex_name: Column) -> Column:
     """Text of the bytes after the label; bytes that are no UTF-8 become U+FFFD."""
-    body = F.when(hex_name.rlike(_LABELLED), F.substring(hex_name, 9, 1 << 20)).otherwise(hex_name)
+    body = F.when(hex_name.rlike(_LABELLED), F.substring(hex_name, F.lit(9), F.length(hex_name))).otherwise(hex_name)
     return F.make_valid_utf8(F.unhex(body).cast("string"))
 
 
 def owner_hex_of(hex_name: Column) -> Column:
     """Hex of the owner token: 000 stays, every other label becomes 222."""
     label = label_of(hex_name)
-    body = F.substring(hex_name, 9, 1 << 20)
+    body = F.substring(hex_name, F.lit(9), F.length(hex_name))
     return (
         F.when(label.isNull(), hex_name)
         .when(label == LABEL_VIRTUAL, hex_name)

@@ -89,6 +89,6 @@ def with_content(records: DataFrame, content: DataFrame, links: list[str]) -> Da
     for link in links:
         side = content.select(F.col("cid").alias("__link"), F.col("json").alias(f"{link}_content"))
         # A null never meets a row, so links of another kind stay out of the join.
-        cid = F.when(F.col(link).startswith("ipfs://"), F.substring(F.col(link), 8, 1 << 20))
+        cid = F.when(F.col(link).startswith("ipfs://"), F.substring(F.col(link), F.lit(8), F.length(link)))
         joined = left_lookup(joined.withColumn("__link", cid), side, "__link").drop("__link")
     return joined

@@ -3,10 +3,11 @@
 An event row is one asset of one surviving output, or one burned asset:
 
 ``name, policy, label, hex, owner_hex, kind, slot, rank, tx_pos, idx, utxo,
-address, holder, lovelace, script, datum, is_mint``
+address, holder, lovelace, script, datum, is_mint, datum_holder``
 
 ``kind`` is ``burn``, ``label_burn``, ``owner``, ``virtual``, ``settings``,
-``reference`` or ``other``; ``datum`` is the decoded datum as JSON text. Rows
+``reference`` or ``other``; ``datum`` is the decoded datum as JSON text and
+``datum_holder`` the holder of the address in it. Rows
 are ordered per name by ``ORDER``: burns of a block come first, then label
 burns, then outputs with a 222 token, then the rest.
 
@@ -15,7 +16,7 @@ where a record ended. Every field is then the newest (or oldest) value after
 that point, which aggregates map-side, so no group is ever collected.
 
 A mint counts as a second copy if the name's last owner token has the same
-identity and the record was not burned away since. The identity a record took
+identity, its stored output is another one, and the record was not burned away since. The identity a record took
 from a settings or reference token alone does not count; that differs only for
 names that mix virtual and owner tokens, which the ledger rules out.
 """
@@ -37,10 +38,14 @@ BURNS = ("burn", "label_burn")
 EVENT_SCHEMA = (
     "name STRING, policy STRING, label STRING, hex STRING, owner_hex STRING, kind STRING, slot BIGINT, rank INT,"
     " tx_pos BIGINT, idx INT, utxo STRING, address STRING, holder STRING, lovelace DECIMAL(38,0),"
-    " script STRUCT<type: STRING, cbor: STRING>, datum STRING, is_mint BOOLEAN"
+    " script STRUCT<type: STRING, cbor: STRING>, datum STRING, is_mint BOOLEAN, datum_holder STRING"
 )
 
 
+class MissingMintError(ValueError):
+    """An output holds a name that was never minted."""
+
+
 def event_kind(label: Column) -> Column:
     """Kind of an asset held by an output."""
     return (
@@ -143,9 +148,11 @@ def copy_counter(events: DataFrame, prior: DataFrame | None = None, *, count_dou
     rows = materialize(scan.with_chunk(rows, "slot", width), "busy")
     kind = F.col("kind")
     rows = scan.with_last_seen(rows, ["name"], ORDER, F.when(kind.isin("owner", "state"), F.col("owner_hex")), "previous_hex")
+    # Two assets of one output, or a mint applied again, are no second copy.
+    rows = scan.with_last_seen(rows, ["name"], ORDER, F.when(kind.isin("owner", "virtual", "state"), F.col("utxo")), "previous_utxo")
     double = F.lit(False)
     if count_double_mints:
-        double = F.coalesce(mint & (F.col("previous_hex") == F.col("owner_hex")), F.lit(False))
+        double = F.coalesce(mint & (F.col("previous_hex") == F.col("owner_hex")) & (F.col("previous_utxo") != F.col("utxo")), F.lit(False))
     add = F.when(kind == "burn", -1).when(double, 1).otherwise(0)
     floor = (
         F.when(kind == "burn", 0)
@@ -159,7 +166,8 @@ def double_mints(events: DataFrame, *, width: int = SLOT_CHUNK) -> DataFrame:
     """Mints of a name that still has a copy under the same identity."""
     counted = copy_counter(events, width=width)
     return counted.filter(
-        (F.col("kind") == "owner") & F.col("is_mint") & (F.col("previous_hex") == F.col("owner_hex")) & (F.col("copies") > 1)
+        (F.col("kind") == "owner") & F.col("is_mint") & (F.col("previous_hex") == F.col("owner_hex"))
+        & (F.col("previous_utxo") != F.col("utxo")) & (F.col("copies") > 1)
     ).select("name", "slot", "utxo", F.col("copies").alias("amount"))
 
 
@@ -212,11 +220,16 @@ def _partial(events: DataFrame, outcomes: DataFrame, width: int) -> DataFrame:
     owner = kind == "owner"
     output = ~kind.isin(*BURNS)  # null, hence no, for rows before the cut
     places = F.struct(F.coalesce("address", F.lit("")).alias("address"), F.coalesce("holder", F.lit("")).alias("holder"))
+    # The datum of a virtual token says where it belongs, whoever holds the output.
+    told = F.struct(
+        F.coalesce(F.regexp_replace(F.try_element_at("attrs.resolved_addresses", F.lit("ada")), "^0x", ""), F.lit("")).alias("address"),
+        F.coalesce("datum_holder", F.lit("")).alias("holder"),
+    )
     fields = rows.groupBy("name").agg(
         F.min_by(F.struct("policy", "owner_hex", "slot", "kind", places.alias("place")), F.when(output, position)).alias("first"),
         newest(F.struct("owner_hex", "lovelace", "script", "datum"), owner, "owned"),
         newest(F.col("utxo"), kind.isin("owner", "virtual"), "utxo"),
-        newest(places, owner | ((kind == "virtual") & attrs_set), "place"),
+        newest(F.when(owner, places).otherwise(told), owner | ((kind == "virtual") & attrs_set), "place"),
         newest(F.col("attrs"), attrs_set, "attrs"),
         newest(F.col("utxo"), kind.isin("reference", "virtual"), "reference_utxo"),
         newest(F.struct("settings", F.col("utxo").alias("utxo_id")), (kind == "settings") & has_datum, "settings"),
@@ -233,14 +246,20 @@ def _partial(events: DataFrame, outcomes: DataFrame, width: int) -> DataFrame:
 
 
 def fold(events: DataFrame, mints: DataFrame, prior: DataFrame | None = None, *, og_list: DataFrame | None = None,
-         count_double_mints: bool = True, width: int = SLOT_CHUNK) -> DataFrame:
+         count_double_mints: bool = True, width: int = SLOT_CHUNK, strict: bool = True) -> DataFrame:
     """Current records of every name touched by prepared ``events``.
 
     With ``prior`` (an earlier result) the events continue from it and the result
     holds the touched names only, with ``exists = false`` where a record ended.
     Without it the result holds the existing records. ``og_list`` (``name,
-    og_number``) numbers the names whose datum has not set a number.
+    og_number``) numbers the names whose datum has not set a number. A name held
+    by an output must have a mint record, else `MissingMintError` is raised;
+    without ``strict`` its first slot stands in.
     """
+    if strict:
+        unknown = missing_mints(events.filter(~F.col("kind").isin(*BURNS)), mints).limit(5).collect()
+        if unknown:
+            raise MissingMintError(f"no mint record for {', '.join(sorted(r['name'] for r in unknown))}")
     rows = events if prior is None else _drop_late(events, prior)
     counted = copy_counter(rows, prior, count_double_mints=count_double_mints, width=width)
     part = _partial(rows, materialize(_outcomes(counted), "outcomes"), width)

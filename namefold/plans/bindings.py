@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
-from namefold.operators import scan
+from namefold.operators import scan, state
 from namefold.scratch import materialize
 
 SLOT_CHUNK = 400  # slots are days here, about 2,400 of them
@@ -166,6 +166,7 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(38,0)").alias("lovelace"),
         F.struct(F.lit("plutusV2").alias("type"), F.lit("00").alias("cbor")).alias("script"),
         datum.alias("datum"), ((F.col("kind") == "owner") & (F.col("tx_id") % 5 == 0)).alias("is_mint"),
+        F.when(F.col("kind") == "virtual", F.concat(F.lit("d"), F.col("tx_id") % 97)).alias("datum_holder"),
     )
     spent_here = inputs.withColumn("__spent", F.lit(True))
     burn_row = F.col("kind").isin("burn", "label_burn")
@@ -178,15 +179,18 @@ def _pz_datum() -> Column:
     return F.concat(
         F.lit('[{"image":"img'), tx, F.lit('","og_number":'), tx % 3, F.lit(',"version":1},1,{"image_hash":"h'), tx % 5,
         F.lit('","standard_image_hash":"h0","default":'), F.when(tx % 10 == 1, "true").otherwise("false"),
-        F.lit(',"resolved_addresses":{"ada":"x","btc":"b'), tx, F.lit('"}}]'),
+        F.lit(',"resolved_addresses":{"ada":"0xda'), tx, F.lit('","btc":"b'), tx, F.lit('"}}]'),
     )
 
 
 def mint_records(events: DataFrame) -> DataFrame:
-    return events.filter("is_mint").select(
-        "name", F.col("slot").alias("created_slot"), F.col("tx_pos").cast("string").alias("tx_hash"),
-        F.lit("{}").alias("metadata"),
-    ).distinct()
+    """Every mint, and the first output of each name: the ledger's names all were minted once."""
+    def record(rows: DataFrame) -> DataFrame:
+        return rows.select("name", F.col("slot").alias("created_slot"), F.col("tx_pos").cast("string").alias("tx_hash"), F.lit("{}").alias("metadata"))
+
+    outputs = events.filter(~F.col("kind").isin(*state.BURNS))
+    first = outputs.groupBy("name").agg(F.min(F.struct("slot", "tx_pos")).alias("f")).select("name", "f.*")
+    return record(events.filter("is_mint")).unionByName(record(first)).distinct()
 
 
 _SLOT = "date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))"

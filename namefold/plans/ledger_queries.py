@@ -137,7 +137,7 @@ one_burn AS (
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY slot, rank, tx_id, idx, hex) AS n
   FROM one_burn WHERE kind <> 'burn' OR burn_no = 1),
-minted AS (SELECT name, min(slot) AS slot FROM asset_events WHERE is_mint GROUP BY name),
+minted AS (SELECT name, min(slot) AS slot FROM asset_events WHERE kind NOT IN ('burn', 'label_burn') GROUP BY name),
 folded AS (
   SELECT name, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS amount, '' AS hex, '' AS utxo, '' AS address, CAST('' AS VARCHAR) AS holder,
     CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS created, CAST(NULL AS VARCHAR) AS reference_utxo, CAST('' AS VARCHAR) AS image,
@@ -147,13 +147,13 @@ folded AS (
   UNION ALL
   SELECT f.name, e.n,
     CASE WHEN e.kind = 'burn' THEN greatest(f.amount - 1, 0) WHEN e.kind = 'label_burn' THEN f.amount WHEN f.amount = 0 THEN 1
-         WHEN e.kind = 'owner' AND e.is_mint AND f.utxo <> '' AND f.hex = e.owner_hex THEN f.amount + 1 ELSE f.amount END,
+         WHEN e.kind = 'owner' AND e.is_mint AND f.utxo <> '' AND f.utxo <> e.utxo AND f.hex = e.owner_hex THEN f.amount + 1 ELSE f.amount END,
     CASE WHEN e.kind IN ('burn', 'label_burn') THEN CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' ELSE f.hex END
          WHEN f.amount = 0 OR e.kind = 'owner' THEN e.owner_hex ELSE f.hex END,
     CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind IN ('owner', 'virtual') THEN e.utxo ELSE f.utxo END,
-    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind = 'owner' OR (e.kind = 'virtual' AND e.has_datum) THEN concat('addr', e.holder)
+    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind = 'virtual' AND e.has_datum THEN concat('da', e.tx_id) WHEN e.kind = 'owner' THEN concat('addr', e.holder)
          WHEN f.amount = 0 AND e.kind IN ('settings', 'virtual') THEN concat('addr', e.holder) ELSE f.address END,
-    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind = 'owner' OR (e.kind = 'virtual' AND e.has_datum) THEN CAST(e.holder AS VARCHAR)
+    CASE WHEN e.kind = 'burn' AND f.amount <= 1 THEN '' WHEN e.kind = 'virtual' AND e.has_datum THEN concat('d', e.tx_id % 97) WHEN e.kind = 'owner' THEN CAST(e.holder AS VARCHAR)
          WHEN f.amount = 0 AND e.kind IN ('settings', 'virtual') THEN CAST(e.holder AS VARCHAR) ELSE f.holder END,
     CASE WHEN e.kind IN ('burn', 'label_burn') THEN f.updated
          WHEN f.amount = 0 OR e.kind IN ('owner', 'virtual') OR (e.kind = 'settings' AND e.has_datum) THEN e.slot ELSE f.updated END,
@@ -182,7 +182,7 @@ def state_fold(spark, sf_dir):
     raw = b.asset_events(spark, sf_dir)
     events = materialize(state.prepare(raw), "events")
     og_list = b.names(spark, sf_dir).filter("og_number > 0")
-    folded = state.fold(events, b.mint_records(events), og_list=og_list, width=b.SLOT_CHUNK)
+    folded = state.fold(events, b.mint_records(raw), og_list=og_list, width=b.SLOT_CHUNK)
     return folded.select(
         "name", "amount", "hex", "utxo", "address", "holder", "updated_slot_number", "created_slot_number", "reference_utxo", "image",
         "og_number", F.col("settings.utxo_id").alias("settings_utxo"), "registry_labels", F.col("default").alias("is_default"), "has_datum",

@@ -49,7 +49,11 @@ def before_undo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def distinct_events(rows: DataFrame) -> DataFrame:
     """One row per asset and transaction of a block: a repeated delivery adds nothing."""
-    return rows.filter(F.col("action") == "apply").dropDuplicates(["hash", "tx_hash", "idx", "hex", "kind"])
+    keys = ["hash", "tx_hash", "idx", "hex", "kind"]
+    rest = [c for c in rows.columns if c not in keys]
+    # The first delivery counts, so that positions do not depend on the plan.
+    first = rows.filter(F.col("action") == "apply").groupBy(*keys).agg(F.min_by(F.struct(*rest), "seq").alias("r"))
+    return first.select(*keys, "r.*").select(*rows.columns)
 
 
 def check_contiguous(rows: DataFrame, last_height: int | None) -> tuple[int | None, int]:
@@ -73,6 +77,7 @@ def fold_events(rows: DataFrame) -> DataFrame:
         F.col("seq").alias("tx_pos"), "idx", F.when(~burn, F.concat_ws("#", "tx_hash", "idx")).alias("utxo"), "address", "holder",
         F.lit(None).cast("decimal(38,0)").alias("lovelace"), F.lit(None).cast("struct<type:string,cbor:string>").alias("script"),
         F.lit(None).cast("string").alias("datum"), F.coalesce("is_mint", F.lit(False)).alias("is_mint"),
+        F.lit(None).cast("string").alias("datum_holder"),
     )
 
 
@@ -149,6 +154,7 @@ class BlockLedger:
             early, late = before_undo(rows)
             if halted:
                 early, late = rows.filter(F.lit(False)), rows
+            early = self._without_applied(early, last_height, batch)
             released, tip = complete_blocks(early)
             height, blocks = check_contiguous(released, last_height)
             undone = rows.filter(F.col("action") == "undo").select(
@@ -165,6 +171,16 @@ class BlockLedger:
         finally:
             rows.unpersist()
 
+    def _without_applied(self, rows: DataFrame, last_height: int | None, batch: int) -> DataFrame:
+        """Rows above the applied blocks. A block delivered again is ignored; another block at its height is an error."""
+        again = F.col("height") <= F.lit(-1 if last_height is None else last_height)
+        repeated = rows.filter(again).select("height", "hash").distinct()
+        if repeated.isEmpty():
+            return rows
+        if not repeated.join(self.table("blocks", batch - 1).select("height", "hash"), ["height", "hash"], "left_anti").isEmpty():
+            raise GapError(f"feed holds another block at or below the applied height {last_height}")
+        return rows.filter(~again)
+
     def apply(self, released: DataFrame, batch: int) -> int:
         """What a job makes of the released blocks; returns the names it touched."""
         return 0
@@ -176,6 +192,7 @@ class CurrentState(BlockLedger):
 
     policies: tuple[str, ...] = ()  # tracked ones; all if empty
     compact_every: int = 20
+    strict: bool = True  # a name without a mint record stops the job
 
     def _newest(self, upto: int) -> DataFrame:
         """Newest row per name: the last full copy and the batches after it."""
@@ -192,7 +209,8 @@ class CurrentState(BlockLedger):
         return self._newest(upto).filter("exists").drop("exists") if upto >= 0 else None
 
     def apply(self, released: DataFrame, batch: int) -> int:
-        once = distinct_events(released)
+        # Failed transactions stay in the ledger of blocks; they change nothing.
+        once = distinct_events(released.filter(F.coalesce("successful", F.lit(True))))
         if self.policies:
             once = normalize.tracked(once, self.policies)
         every = fold_events(once)
@@ -205,9 +223,9 @@ class CurrentState(BlockLedger):
         mints = self.table("mints", batch).drop("batch").join(touched, "name", "left_semi").distinct()
         prior = self.records(batch - 1)
         if prior is None:
-            records = state.fold(events, mints).withColumn("exists", F.lit(True))
+            records = state.fold(events, mints, strict=self.strict).withColumn("exists", F.lit(True))
         else:
-            records = state.fold(events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"))
+            records = state.fold(events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"), strict=self.strict)
         self._write(records, "state", batch)
         if batch > 0 and batch % self.compact_every == 0:
             self._write(self._newest(batch), "full", batch)

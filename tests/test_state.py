@@ -24,14 +24,14 @@ def event(name, kind, slot, n=0, *, mint=False, holder="h", datum=None, label=No
     rank = {"burn": 0, "label_burn": 1}.get(kind, 2 if token == assets.LABEL_OWNER else 3)
     owner_hex = body if token is None else ((assets.LABEL_VIRTUAL if token == assets.LABEL_VIRTUAL else assets.LABEL_OWNER) + body)
     utxo = None if kind in state.BURNS else f"t{slot}#{n}"
-    return (name, "p", token, (token or "") + body, owner_hex, real, slot, rank, n, n, utxo, f"addr_{holder}", holder, None, None, datum, mint)
+    return (name, "p", token, (token or "") + body, owner_hex, real, slot, rank, n, n, utxo, f"addr_{holder}", holder, None, None, datum, mint, "datum_" + holder)
 
 
 def fold(spark, rows, prior=None, **options):
     events = state.prepare(spark.createDataFrame(rows, state.EVENT_SCHEMA))
     mints = events.filter("is_mint").select(
         "name", F.col("slot").alias("created_slot"), F.lit("t").alias("tx_hash"), F.lit("{}").alias("metadata"))
-    return state.fold(events, mints, prior, width=options.pop("width", 3), **options)
+    return state.fold(events, mints, prior, width=options.pop("width", 3), strict=options.pop("strict", False), **options)
 
 
 def by_name(df):
@@ -216,3 +216,38 @@ def test_view_of_folded_records(spark):
     assert set(out) == {"plain", "art", "sub@root"}  # no output, no view
     assert out["plain"]["pz_enabled"] and out["sub@root"]["pz_enabled"] is None
     assert out["art"]["is_personalized"] and not out["plain"]["is_personalized"] and out["sub@root"]["sub_length"] == 3
+
+
+def test_virtual_token_belongs_where_its_datum_says(spark):
+    datum = '[{"image":"i"},1,{"resolved_addresses":{"ada":"0xfeed","btc":"b"}}]'
+    out = by_name(fold(spark, [event("sub@root", "virtual", 3, datum=datum, mint=True, holder="contract")]))["sub@root"]
+    assert (out["address"], out["holder"]) == ("feed", "datum_contract")
+    assert out["resolved_addresses"] == {"ada": "feed", "btc": "b"}
+    bare = by_name(fold(spark, [event("sub@root", "virtual", 3, mint=True, holder="contract")]))["sub@root"]
+    assert (bare["address"], bare["holder"]) == ("addr_contract", "contract")
+
+
+def test_two_assets_of_one_output_are_no_double_mint(spark):
+    first = event("one", "owner", 1, mint=True)
+    other = (*first[:1], "q", *first[2:])
+    assert by_name(fold(spark, [first, other]))["one"]["amount"] == 1
+    start = fold(spark, [first])
+    assert by_name(fold(spark, [first], start))["one"]["amount"] == 1
+    assert by_name(fold(spark, [first, event("one", "owner", 2, mint=True)]))["one"]["amount"] == 2
+
+
+def test_a_name_without_mint_record_stops_the_fold(spark):
+    with pytest.raises(state.MissingMintError, match="stray"):
+        fold(spark, [event("stray", "owner", 1), event("known", "owner", 1, mint=True)], strict=True)
+    assert set(by_name(fold(spark, [event("known", "owner", 1, mint=True), event("gone", "burn", 2)], strict=True))) == {"known"}
+
+
+def test_members_of_more_holders_than_a_page(spark):
+    records = spark.range(400).select(F.concat(F.lit("h"), "id").alias("holder"), F.concat(F.lit("n"), "id").alias("name"))
+    assert holders.members(records.select("holder"), records).count() == 400
+
+
+def test_long_names_keep_all_their_letters(spark):
+    long = "61" * (1 << 20)
+    row = spark.createDataFrame([(assets.LABEL_REFERENCE + long,)], "h string").select(F.length(assets.owner_hex_of(F.col("h"))).alias("o")).first()
+    assert row["o"] == 8 + len(long)
