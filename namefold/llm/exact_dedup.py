@@ -37,6 +37,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     shared = materialize(
         rows.groupBy("n", "digit").agg(F.count("*").alias("members")).where("members > 1").select("n", "digit", F.monotonically_increasing_id().alias("grp")), "radix",
     )
+    # One plan at every size: the counted side grows with the documents, so it is sorted and merged, never broadcast.
+    shared = shared.hint("merge")
     alone = rows.join(shared, ["n", "digit"], "left_anti").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     active = materialize(
         rows.join(shared, ["n", "digit"]).select("row", "id", "n", "text_sha256", "grp", F.monotonically_increasing_id().alias("seq")), "radix",
@@ -49,7 +51,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             sliced.groupBy("grp", "digit").agg(F.count("*").alias("members"), F.max(F.struct("id", "seq")).alias("keep"))
             .select(F.col("grp"), "digit", "members", "keep", F.monotonically_increasing_id().alias("sub")), "radix",
         )
-        split = sliced.join(groups, ["grp", "digit"])
+        split = sliced.join(groups.hint("merge"), ["grp", "digit"])
         at += width
         ended = (F.col("members") == 1) | (F.col("n") <= at)
         if longest > at:

@@ -126,4 +126,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = materialize(labelled, "simhash")
     names = materialize(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
     named = materialize(labelled.join(names, "root").select(F.col("fp").alias("code"), "root", "component_id"), "simhash")
-    return marked.join(named, F.col("fp") == F.col("code")).select("row", "fp", "root", "component_id")
+    # The labels grow with the documents: sorted and merged at every size.
+    return marked.join(named.hint("merge"), F.col("fp") == F.col("code")).select("row", "fp", "root", "component_id")
