@@ -38,10 +38,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     windows = worded.select("id", "tk", F.inline(joined)).select("id", "tk", F.unhex("h").alias("h"), "a", "b", "c")
     place = F.struct("id", "tk", "a")
     repeated = materialize(windows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h", "first"), "lines")
-    later = windows.join(repeated, "h").where(place > F.col("first"))
+    # One plan at every size: what is joined grows with the documents, so it is sorted and merged, never broadcast.
+    later = windows.join(repeated.hint("merge"), "h").where(place > F.col("first"))
     gone = later.groupBy("id", "tk").agg(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b", "c")))).alias("gone"))
     gone = materialize(gone.select(F.col("id").alias("gid"), F.col("tk").alias("gtk"), "gone"), "lines")
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("tk") == F.col("gtk")), "left")
+    out = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("tk") == F.col("gtk")), "left")
     out = out.select("row", "lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     keep = F.when(F.size("gone") == 0, F.col("lines")).otherwise(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda at: F.get("lines", at)),
