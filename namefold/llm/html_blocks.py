@@ -307,10 +307,12 @@ def train(pages: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame) -> Labeller:
-    """Learns from at most SAMPLE_PAGES pages, chosen by a hash of page_id and then the html's."""
-    order = F.xxhash64(F.col("page_id").cast("string"))
-    some = pages.where("html IS NOT NULL").select(order.alias("o"), "html").orderBy("o", F.xxhash64("html")).limit(SAMPLE_PAGES)
-    return train([r["html"] for r in some.collect()])
+    """Learns from at most SAMPLE_PAGES pages, chosen by a hash of page_id; only the chosen ones' html goes to the driver."""
+    ids = pages.where("page_id IS NOT NULL AND html IS NOT NULL").select("page_id").distinct()
+    ids = ids.orderBy(F.xxhash64(F.col("page_id").cast("string")), "page_id").limit(SAMPLE_PAGES)
+    # A bounded number of ids. Rows that repeat an id come once each, the least html of it.
+    some = pages.where("html IS NOT NULL").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    return train(sorted(r["html"] for r in some.select("html").collect()))
 
 
 def extractor(model: Labeller):
