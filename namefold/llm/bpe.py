@@ -14,7 +14,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -173,7 +173,7 @@ class Bpe:
         failed = set(owner[inner[~good[place]]].tolist())
         return {w: np.array(self.merge(raw[i]) if i in failed else proposals[i], "<u4").tobytes() for i, w in enumerate(words)}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; strings of added tokens become those tokens.
 
         Texts are taken in groups, so that the new words of a group are proposed and tested together.
@@ -241,7 +241,7 @@ def encoder(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
         for texts in batches:
-            ids = list(bpe.encode(texts.to_pylist()))
+            ids = list(bpe.encode(t.as_py() for t in texts))
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
 
     return encode
@@ -255,7 +255,7 @@ def digests(path: str):
         bpe = load(path)
         for texts in batches:
             rows = []
-            for ids in bpe.encode(texts.to_pylist()):
+            for ids in bpe.encode(t.as_py() for t in texts):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
             n, ids_sha, decoded_sha = zip(*rows) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
