@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import crc_fold, training_rows, whole_text
+from namefold.llm.common import crc_fold, text_groups, training_rows, whole_text
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Bound of the training sample: at most so many labelled documents of each class are read by the driver.
@@ -88,7 +88,7 @@ def scorer(weights: np.ndarray, bias: float):
         even = math.log1p(math.exp(bias))
         for texts in batches:
             rows = []
-            for text in texts.to_pylist():
+            for text in (t for group in text_groups(texts) for t in group):
                 hazard, spans = 0.0, []
                 if len(memory) > REMEMBERED:
                     memory.clear()
