@@ -53,7 +53,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.fromiter((fingerprint(t) for t in texts.to_pylist()), np.uint64, len(texts)).view(np.int64), pa.int64())
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64), pa.int64())
 
 
 def linked(codes: np.ndarray, block: np.ndarray, left: int, right: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
