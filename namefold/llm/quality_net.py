@@ -58,11 +58,15 @@ class Net:
     def weights(self) -> np.ndarray:
         return np.einsum("be,kef->kbf", self.params["embed"], self.params["conv"])
 
+    def bytewise(self) -> np.ndarray:
+        """Embedding, filters and bias as one table per position of the filter: cheap to build, for training."""
+        w = self.weights().astype(np.float32)
+        w[0] += self.params["bias"].astype(np.float32)
+        return w
+
     def tables(self) -> list[np.ndarray]:
-        w = self.weights()
-        pairs = [(w[k][:, None, :] + w[k + 1][None, :, :]).reshape(65536, FILTERS) for k in range(0, WIDTH, 2)]
-        pairs[0] = pairs[0] + self.params["bias"]
-        return [p.astype(np.float32) for p in pairs]
+        w = self.bytewise()
+        return [(w[k][:, None, :] + w[k + 1][None, :, :]).reshape(65536, FILTERS) for k in range(0, WIDTH, 2)]
 
     def combine(self, pooled: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Logit per text from the chunks' vectors; mean and maximum per text, and how much of its first chunk is empty."""
@@ -75,28 +79,29 @@ class Net:
         return mean @ self.params["mean"] + top @ self.params["top"] + empty @ self.params["empty"] + (empty[:, :1] * mean) @ self.params["short"] + self.params["out"][0], mean, top, empty
 
 
-def cell_maxima(tables: list[np.ndarray], data: np.ndarray) -> np.ndarray:
-    """Filter maxima per cell, in pieces of bounded size."""
+def cell_maxima(tables: list[np.ndarray] | np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Filter maxima per cell, in pieces of bounded size; the tables are for single bytes or for pairs."""
+    span = WIDTH // len(tables)
     n = (len(data) - WIDTH + 1) // CELL
     out = np.empty((n, FILTERS), np.float32)
     for at in range(0, n, _PIECE_CELLS):
         end = min(at + _PIECE_CELLS, n)
         piece = data[at * CELL : end * CELL + WIDTH - 1].astype(np.int32)
-        pair = piece[:-1] * 256 + piece[1:]
+        code = piece if span == 1 else piece[:-1] * 256 + piece[1:]
         m = (end - at) * CELL
-        total = tables[0].take(pair[:m], axis=0)
+        total = tables[0].take(code[:m], axis=0)
         for k in range(1, len(tables)):
-            total += tables[k].take(pair[2 * k : 2 * k + m], axis=0)
+            total += tables[k].take(code[span * k : span * k + m], axis=0)
         total.reshape(end - at, CELL, FILTERS).max(axis=1, out=out[at:end])
     return out
 
 
-def winners(tables: list[np.ndarray], data: np.ndarray, cell: np.ndarray) -> np.ndarray:
+def winners(weights: np.ndarray, data: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Position of each filter's maximum in the cells given per chunk and filter."""
     out = np.empty_like(cell)
     for lane in range(FILTERS):
-        at = cell[:, lane, None] * CELL + np.arange(CELL)
-        total = sum(t[:, lane][data[at + 2 * k].astype(np.int32) * 256 + data[at + 2 * k + 1]] for k, t in enumerate(tables))
+        span = data[cell[:, lane, None] * CELL + np.arange(CELL + WIDTH - 1)]
+        total = sum(weights[k, :, lane].take(span[:, k : k + CELL]) for k in range(WIDTH))
         out[:, lane] = cell[:, lane] * CELL + total.argmax(axis=1)
     return out
 
@@ -136,13 +141,13 @@ def train(rows: list[tuple[bytes, int]]) -> Net:
 def gradients(net: Net, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
     data, counts = cells_of(texts)
     first, last, owner = chunks_of(counts)
-    tables = net.tables()
-    maxima = cell_maxima(tables, data)
+    weights = net.bytewise()
+    maxima = cell_maxima(weights, data)
     at = np.minimum(first[:, None] + np.arange(CHUNK), last[:, None] - 1)
     best = maxima[at].argmax(axis=1)
     cell = np.take_along_axis(at, best, axis=1)
     lanes = np.arange(FILTERS)
-    pooled, place = np.maximum(maxima[cell, lanes], 0).astype(np.float64), winners(tables, data, cell)
+    pooled, place = np.maximum(maxima[cell, lanes], 0).astype(np.float64), winners(np.asfortranarray(weights), data, cell)
     logit, mean, top, empty = net.combine(pooled, owner, counts)
     d = (1 / (1 + np.exp(-logit)) - y) / len(texts)
     grads = {"mean": mean.T @ d, "top": top.T @ d, "out": np.array([d.sum()]), "empty": empty.T @ d, "short": (empty[:, :1] * mean).T @ d}
