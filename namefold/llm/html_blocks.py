@@ -13,6 +13,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,9 +35,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W")
 
 PATH_DIMS, WORD_DIMS, PATH_SIZE, WORD_SIZE, HIDDEN = 2048, 4096, 16, 8, 16
-MOST_WORDS = 12
+#: A text's words are found, and the vectors of all words added up, in pieces of about so many characters or words.
+PIECE = 1 << 16
 #: Bounds of the training sample: at most so many pages, in so many variants each.
 SAMPLE_PAGES, VARIANTS, STRANGE = 150, 4, 0.2
 EPOCHS, BATCH, RATE, SEED = 6, 20, 0.01, 5
@@ -167,13 +171,27 @@ def path_marks(path: tuple[str, ...]) -> list[int]:
     return sorted({zlib.crc32(m.encode("utf-8", "replace")) % PATH_DIMS for m in path[2:]} or {0})
 
 
-def features(path: tuple[str, ...], text: str) -> tuple[list[int], list[int], list[float]]:
-    """Hashed marks of the path, hashed words, and a few plain measures."""
-    marks = path_marks(path)
-    # All words are read where a text has few; of a long text they are taken at even steps over all of it.
-    words = _WORD.findall(text.lower())
-    some = words[:: -(-len(words) // MOST_WORDS)] if len(words) > MOST_WORDS else words
-    return marks, [zlib.crc32(w.encode("utf-8", "replace")) % WORD_DIMS for w in some], [min(len(words), 200) / 100, float(text[-1:] in ".!?\"”"), float(path[-1:] == ("a",))]
+@lru_cache(maxsize=1 << 16)
+def word_id(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_DIMS
+
+
+def word_counts(text: str) -> Counter[int]:
+    """How often each hashed word stands in the text: every word counts. A piece ends between two words."""
+    text, counts, at = text.lower(), Counter(), 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        counts.update(map(word_id, _WORD.findall(text, at, end)))
+        at = end
+    return counts
+
+
+def features(path: tuple[str, ...], text: str) -> tuple[list[int], array, list[float], array]:
+    """Hashed marks of the path, hashed words, a few plain measures, and each hashed word's share of all words."""
+    counts = word_counts(text)
+    n = counts.total()
+    return path_marks(path), array("H", counts), [min(n, 200) / 100, float(text[-1:] in ".!?\"”"), float(path[-1:] == ("a",))], array("d", [k / n for k in counts.values()])
 
 
 class Labeller:
@@ -197,13 +215,19 @@ class Labeller:
             counts = np.array([len(b[k]) for b in flat])
             ids = np.fromiter((i for b in flat for i in b[k]), np.int64, int(counts.sum()))
             owner = np.repeat(np.arange(len(flat)), counts)
-            weight = np.repeat(1 / np.maximum(counts, 1) if name == "word" else np.ones(len(flat)), counts)
+            weight = np.fromiter((i for b in flat for i in b[3]), np.float64, len(ids)) if name == "word" else np.ones(len(ids))
             total = np.zeros((len(flat), size))
-            rows = self.params[name][ids] * weight[:, None]
-            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            held = counts > 0
-            if len(ids):
-                total[held] = np.add.reduceat(rows, starts[held])
+            ends = np.cumsum(counts)
+            # Pieces of whole blocks: a block's sum does not depend on its neighbours, and a block has at most WORD_DIMS ids.
+            first = 0
+            while first < len(flat):
+                base = int(ends[first] - counts[first])
+                last = max(first + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+                held = first + np.flatnonzero(counts[first:last])
+                if len(held):
+                    some = slice(base, int(ends[last - 1]))
+                    total[held] = np.add.reduceat(self.params[name][ids[some]] * weight[some, None], ends[held] - counts[held] - base)
+                first = last
             bags[name] = (ids, owner, weight)
             parts.append(total)
         parts.append(np.array([b[2] for b in flat], np.float64).reshape(-1, 3))
@@ -330,8 +354,11 @@ def extractor(model: Labeller):
             order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
             at = 0
             while at < len(order):
-                some = [order[at]]
+                some, size = [order[at]], sum(len(b.text) for b in found[order[at]])
                 while at + len(some) < len(order) and (len(some) + 1) * len(found[order[at + len(some)]]) <= 8192:
+                    size += sum(len(b.text) for b in found[order[at + len(some)]])
+                    if size > 1 << 20:
+                        break
                     some.append(order[at + len(some)])
                 at += len(some)
                 for k, p in zip(some, labeller.probabilities([[features(b.path, b.text) for b in found[k]] for k in some])):

@@ -233,3 +233,25 @@ def test_labeller_gradients():
         down = loss()
         model.params[name][at] = old
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-3)
+
+
+def test_every_word_of_a_block_is_read():
+    words = [f"w{k}" for k in range(1200)]
+    plain = html_blocks.features(("html", "body", "p"), " ".join(words))
+    for at in (0, 1, 600, 1199):
+        told = html_blocks.features(("html", "body", "p"), " ".join(words[:at] + ["cookie"] + words[at:]))
+        assert html_blocks.word_id("cookie") in told[1] and dict(zip(told[1], told[3])) != dict(zip(plain[1], plain[3]))
+    counts = Counter(zlib.crc32(w.encode()) % html_blocks.WORD_DIMS for w in words)
+    assert dict(zip(plain[1], plain[3])) == {k: pytest.approx(n / 1200) for k, n in counts.items()}
+
+
+def test_word_vectors_in_pieces(monkeypatch):
+    model = html_blocks.Labeller()
+    page = [html_blocks.features(("html", "body", "p"), " ".join(f"w{k}" for k in range(n))) for n in (0, 700, 3, 0, 40, 2)] + [html_blocks.features(("p",), "!")]
+    want = [np.sum([model.params["word"][i] * share for i, share in zip(b[1], b[3])], axis=0) for b in page]
+    whole = model.inputs([page])[0]
+    monkeypatch.setattr(html_blocks, "PIECE", 5)
+    assert np.array_equal(whole, model.inputs([page])[0])
+    for got, row in zip(whole[:, 0, html_blocks.PATH_SIZE : html_blocks.PATH_SIZE + html_blocks.WORD_SIZE], want):
+        assert got == pytest.approx(row)
+    assert html_blocks.word_counts("one two, three two") == Counter(map(html_blocks.word_id, ("one", "two", "three", "two")))
