@@ -168,7 +168,8 @@ def variant(page: list[tuple[Block, str]], draw: np.random.Generator) -> list[tu
 
 @lru_cache(maxsize=20_000)
 def path_marks(path: tuple[str, ...]) -> list[int]:
-    return sorted({zlib.crc32(m.encode("utf-8", "replace")) % PATH_DIMS for m in path[2:]} or {0})
+    """The tags html and body say nothing and may be left out of a page, so they are dropped wherever they stand; their classes stay."""
+    return sorted({zlib.crc32(m.encode("utf-8", "replace")) % PATH_DIMS for m in path if m not in ("html", "body")} or {0})
 
 
 @lru_cache(maxsize=1 << 16)

@@ -255,3 +255,13 @@ def test_word_vectors_in_pieces(monkeypatch):
     for got, row in zip(whole[:, 0, html_blocks.PATH_SIZE : html_blocks.PATH_SIZE + html_blocks.WORD_SIZE], want):
         assert got == pytest.approx(row)
     assert html_blocks.word_counts("one two, three two") == Counter(map(html_blocks.word_id, ("one", "two", "three", "two")))
+
+
+def test_pages_without_html_and_body_tags(spark):
+    marks = html_blocks.path_marks
+    assert marks(("article", "p")) == marks(("html", "body", "article", "p")) == marks(("body", "article", "p")) != marks(("footer", "p"))
+    assert marks(("html", ".js", "body", ".home", "p")) == marks((".js", ".home", "p"))
+    bare = lambda i: "<nav><a href=x>Home</a></nav>" + "".join(f"<{tag}><p>Some words {k} of page {i}, told here.</p></{tag}>" for k, tag in enumerate(("article", "footer")))
+    pages = spark.createDataFrame([(i, PAGE.format(i)) for i in range(40)] + [(90, bare(90)), (91, f"<html><body>{bare(91)}</body></html>"), (92, f"<body>{bare(92)}")], "page_id long, html string")
+    rows = {r[0]: r[1] for r in html_blocks.main_text(pages).where("row.page_id >= 90").select("row.page_id", "main_text").collect()}
+    assert rows == {i: f"Some words 0 of page {i}, told here." for i in (90, 91, 92)}
