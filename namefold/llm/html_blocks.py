@@ -30,6 +30,9 @@ from namefold.llm.common import whole_text
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+# Start tags that cannot stand in an svg: they end one left open, unless one of its parts that hold html is open.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title".split())
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -52,6 +55,25 @@ class Block:
     text: str
 
 
+def after_svg(page: str, at: int) -> int:
+    """Where the page goes on after the svg whose start tag ends at ``at``; svgs inside it are counted."""
+    depth, html_parts = 1, 0
+    for found in _TOKEN.finditer(page, at):
+        name = (found[2] or "").lower()
+        if name == "svg":
+            if found[1]:
+                depth -= 1
+                if depth == 0:
+                    return found.end()
+            elif not found[3].endswith("/"):
+                depth += 1
+        elif name in HOLDS_HTML:
+            html_parts = max(0, html_parts - 1) if found[1] else html_parts + (not found[3].endswith("/"))
+        elif name in BREAKS and not found[1] and not html_parts:
+            return found.start()
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order. Broken markup is taken as it comes: open tags end with their parent, stray ends are ignored."""
     out: list[Block] = []
@@ -94,6 +116,10 @@ def blocks(page: str) -> list[Block]:
                     marks.pop()
                     if names.pop() == name:
                         break
+        elif name == "svg":
+            # Closed in itself it holds nothing; elsewhere in RAW the slash means nothing.
+            if not found[3].endswith("/"):
+                at = after_svg(page, at)
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)

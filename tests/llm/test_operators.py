@@ -265,3 +265,16 @@ def test_pages_without_html_and_body_tags(spark):
     pages = spark.createDataFrame([(i, PAGE.format(i)) for i in range(40)] + [(90, bare(90)), (91, f"<html><body>{bare(91)}</body></html>"), (92, f"<body>{bare(92)}")], "page_id long, html string")
     rows = {r[0]: r[1] for r in html_blocks.main_text(pages).where("row.page_id >= 90").select("row.page_id", "main_text").collect()}
     assert rows == {i: f"Some words 0 of page {i}, told here." for i in (90, 91, 92)}
+
+
+def test_an_svg_takes_only_its_own_text():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    article = "<article><p>First.</p><p>Second.</p></article>"
+    told = ["Top", "First.", "Second."]
+    assert texts(f'<header>Top<svg class="icon" viewBox="0 0 1 1"/></header>{article}') == told
+    assert texts(f"<header>Top<svg/></header>{article}<svg><text>no</text></svg>") == told
+    assert texts(f"<header>Top<svg><svg><text>no</text></svg><svg/><text>no</text></svg></header>{article}") == told
+    assert texts(f"<header>Top<svg><title>no</title><foreignObject><p>no</p></foreignObject><!-- <svg> --></svg></header>{article}") == told
+    # Without an end tag it ends where html goes on.
+    assert texts(f"<header>Top<svg><svg></svg></header>{article}") == told == texts(f"<header>Top<svg></header>{article}")
+    assert texts(f"{article}<script/>no</script><svg><text>no") == told[1:]
