@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
-from namefold.operators import normalize
+from namefold.operators import normalize, state
 from namefold.plans import bindings as b
 from namefold.plans.bindings import table, with_views
+from namefold.plans.ledger_queries import FOLD_ORACLE, fold_fields
 from namefold.plans.registry import query
-from namefold.scratch import scratch_path
+from namefold.scratch import materialize, scratch_path
 from namefold.sources import landed, sinks, snapshot
 from namefold.streaming import ingest
 
@@ -131,8 +132,16 @@ def report_json(spark, sf_dir):
     return spark.read.schema("name STRING, asset_id BIGINT").json(path)
 
 
+def _land(rows: DataFrame, feed: str, files: int) -> None:
+    """Land the rows in so many files, oldest first."""
+    first, last = rows.agg(F.min("seq"), F.max("seq")).first()
+    width = (last - first) // files + 1
+    for k in range(files):
+        rows.filter(F.col("seq").between(first + k * width, first + (k + 1) * width - 1)).coalesce(1).write.mode("append").json(feed)
+
+
 def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger]) -> tuple[ingest.BlockLedger, int]:
-    """Land the feed slice by slice and resume the same job after each."""
+    """Land the feed slice by slice, each in two files, and resume the same job after each; a batch takes one file."""
     feed = scratch_path(spark, "feed")
     job = kind(spark, scratch_path(spark, "work"))
     if isinstance(job, ingest.CurrentState):
@@ -140,8 +149,8 @@ def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger
         job.strict = False  # many users of the feed never signed up
     top = rows.agg(F.max("seq")).first()[0] + 1
     for part in range(slices):
-        rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)).write.mode("append").json(feed)
-        ingest.run(job, feed, files_per_batch=1 << 20)
+        _land(rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)), feed, 2)
+        ingest.run(job, feed, files_per_batch=1)
     return job, ingest.last_batch(job)
 
 
@@ -170,6 +179,38 @@ def stream_current_state(spark, sf_dir):
     return job.records(batch).select("name", "amount", "utxo", "holder", "updated_slot_number")
 
 
+def _whole_feed(spark, sf_dir) -> DataFrame:
+    """Events of all kinds as feed rows, some delivered twice; every block has a row without a name, and an empty block closes the feed."""
+    events = b.asset_events(spark, sf_dir)
+    outputs = events.filter(~F.col("kind").isin(*state.BURNS))
+    # The ledger's names all were minted once: where no mint is told, the first output is it.
+    first = outputs.groupBy("name").agg(F.min(F.struct("slot", "rank", "tx_pos", "idx", "hex")).alias("f")).select(
+        "name", "f.*", F.lit(True).alias("__first"))
+    marked = events.join(first, ["name", "slot", "rank", "tx_pos", "idx", "hex"], "left")
+    blocks = b.blocks(spark, sf_dir).select("slot", "height", "hash")
+    step = 10_000_000_000
+    seq = (F.col("slot") + 1) * step
+    rows = marked.join(blocks, "slot").select(
+        (seq + F.col("tx_pos")).alias("seq"), "slot", "height", "hash", F.col("tx_pos").cast("string").alias("tx_hash"), F.lit(True).alias("successful"),
+        "policy", "name", "label", "hex", "kind", "idx", "address", "holder", (F.col("is_mint") | F.coalesce("__first", F.lit(False))).alias("is_mint"),
+        "lovelace", "script", "datum", "datum_holder", F.when(F.col("is_mint"), F.concat(F.lit('{"tx":'), "tx_pos", F.lit("}"))).alias("metadata"))
+    end = blocks.agg((F.max("slot") + 1).alias("slot"), (F.max("height") + 1).alias("height"), F.lit("end").alias("hash"))
+    empty = blocks.unionByName(end).withColumn("seq", seq)
+    rows = rows.unionByName(rows.filter(F.col("idx") == 2)).unionByName(empty, allowMissingColumns=True)
+    return rows.withColumn("action", F.lit("apply"))
+
+
+@query("stream_whole_state", with_views(FOLD_ORACLE, "asset_events", recursive=True))
+def stream_whole_state(spark, sf_dir):
+    """All kinds of events through the job, two of six files in a batch, against the same SQL as the batch fold."""
+    feed = scratch_path(spark, "feed")
+    _land(materialize(_whole_feed(spark, sf_dir), "rows"), feed, 6)
+    og_list = materialize(b.names(spark, sf_dir).filter("og_number > 0").select("name", "og_number"), "og")
+    job = ingest.CurrentState(spark, scratch_path(spark, "work"), policies=(b.TRACKED_POLICY,), compact_every=2, og_list=og_list)
+    ingest.run(job, feed, files_per_batch=2)
+    return fold_fields(job.records(ingest.last_batch(job)))
+
+
 @query("stream_complete_blocks", with_views("""
 SELECT height, md5(CAST(height AS VARCHAR)) AS hash, count(*) AS slots FROM feed WHERE height < (SELECT max(height) FROM feed) GROUP BY height""", "feed"))
 def stream_complete_blocks(spark, sf_dir):

@@ -129,7 +129,7 @@ def current_owner(spark, sf_dir):
 
 
 # One step per event and name: the state machine written out, to check the fold.
-_FOLD_ORACLE = """
+FOLD_ORACLE = """
 WITH kept AS (
   SELECT * FROM asset_events WHERE NOT (kind = 'reference' AND NOT has_datum)),
 one_burn AS (
@@ -177,20 +177,25 @@ SELECT name, amount, hex, utxo, address, holder, updated AS updated_slot_number,
 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC) AS last FROM folded) WHERE last = 1 AND amount > 0"""
 
 
-@query("state_fold", with_views(_FOLD_ORACLE, "asset_events", recursive=True))
+def fold_fields(records: DataFrame) -> DataFrame:
+    """What the fold is compared in."""
+    return records.select(
+        "name", "amount", "hex", "utxo", "address", "holder", "updated_slot_number", "created_slot_number", "reference_utxo", "image",
+        "og_number", F.col("settings.utxo_id").alias("settings_utxo"), "registry_labels", F.col("default").alias("is_default"), "has_datum",
+        F.try_element_at("resolved_addresses", F.lit("btc")).alias("btc"), "handle_type",
+    )
+
+
+@query("state_fold", with_views(FOLD_ORACLE, "asset_events", recursive=True))
 def state_fold(spark, sf_dir):
     raw = b.asset_events(spark, sf_dir)
     events = materialize(state.prepare(raw), "events")
     og_list = b.names(spark, sf_dir).filter("og_number > 0")
     folded = state.fold(events, b.mint_records(raw), og_list=og_list, width=b.SLOT_CHUNK)
-    return folded.select(
-        "name", "amount", "hex", "utxo", "address", "holder", "updated_slot_number", "created_slot_number", "reference_utxo", "image",
-        "og_number", F.col("settings.utxo_id").alias("settings_utxo"), "registry_labels", F.col("default").alias("is_default"), "has_datum",
-        F.try_element_at("resolved_addresses", F.lit("btc")).alias("btc"), "handle_type",
-    )
+    return fold_fields(folded)
 
 
-@query("double_mint_findings", with_views(_FOLD_ORACLE[: _FOLD_ORACLE.rindex("SELECT name, amount, hex")] + """
+@query("double_mint_findings", with_views(FOLD_ORACLE[: FOLD_ORACLE.rindex("SELECT name, amount, hex")] + """
 SELECT e.name, e.slot, e.utxo, f.amount FROM folded f JOIN ordered e ON e.name = f.name AND e.n = f.n
 JOIN folded p ON p.name = f.name AND p.n = f.n - 1
 WHERE e.kind = 'owner' AND e.is_mint AND f.amount = p.amount + 1 AND p.amount >= 1""", "asset_events", recursive=True))

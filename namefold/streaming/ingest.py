@@ -75,9 +75,7 @@ def fold_events(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("name").isNotNull() & (F.col("kind") != "spend")).select(
         "name", "policy", "label", "hex", assets.owner_hex_of(F.col("hex")).alias("owner_hex"), "kind", "slot", rank.alias("rank"),
         F.col("seq").alias("tx_pos"), "idx", F.when(~burn, F.concat_ws("#", "tx_hash", "idx")).alias("utxo"), "address", "holder",
-        F.lit(None).cast("decimal(38,0)").alias("lovelace"), F.lit(None).cast("struct<type:string,cbor:string>").alias("script"),
-        F.lit(None).cast("string").alias("datum"), F.coalesce("is_mint", F.lit(False)).alias("is_mint"),
-        F.lit(None).cast("string").alias("datum_holder"),
+        "lovelace", "script", "datum", F.coalesce("is_mint", F.lit(False)).alias("is_mint"), "datum_holder", "metadata",
     )
 
 
@@ -143,7 +141,7 @@ class BlockLedger:
         before it are, the rest is held until a repair has compared the state
         with the canonical chain."""
         last_height, halted = self._status(batch - 1)
-        rows = rows.select(*[f.split(" ")[0] for f in landed.EVENT_SCHEMA.split(", ")])
+        rows = rows.select(*landed.EVENT_COLUMNS)
         if batch > 0:
             resumed = self._resumed(batch - 1) if halted else None
             halted = halted and resumed is None
@@ -193,6 +191,7 @@ class CurrentState(BlockLedger):
     policies: tuple[str, ...] = ()  # tracked ones; all if empty
     compact_every: int = 20
     strict: bool = True  # a name without a mint record stops the job
+    og_list: DataFrame | None = None  # as of `state.fold`
 
     def _newest(self, upto: int) -> DataFrame:
         """Newest row per name: the last full copy and the batches after it."""
@@ -214,18 +213,20 @@ class CurrentState(BlockLedger):
         if self.policies:
             once = normalize.tracked(once, self.policies)
         every = fold_events(once)
-        events = state.prepare(state.net_of_block(every, spent_outputs(once))).persist()
+        events = state.prepare(state.net_of_block(every.drop("metadata"), spent_outputs(once))).persist()
         touched = events.select("name").distinct()
         # Mint history counts every output, also one spent in its own block.
         self._write(every.filter("is_mint").select(
-            "name", F.col("slot").alias("created_slot"), F.split_part("utxo", F.lit("#"), F.lit(1)).alias("tx_hash"), F.lit("{}").alias("metadata")
+            "name", F.col("slot").alias("created_slot"), F.split_part("utxo", F.lit("#"), F.lit(1)).alias("tx_hash"),
+            F.coalesce("metadata", F.lit("{}")).alias("metadata"),
         ).distinct(), "mints", batch)
         mints = self.table("mints", batch).drop("batch").join(touched, "name", "left_semi").distinct()
         prior = self.records(batch - 1)
         if prior is None:
-            records = state.fold(events, mints, strict=self.strict).withColumn("exists", F.lit(True))
+            records = state.fold(events, mints, og_list=self.og_list, strict=self.strict).withColumn("exists", F.lit(True))
         else:
-            records = state.fold(events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"), strict=self.strict)
+            records = state.fold(
+                events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"), og_list=self.og_list, strict=self.strict)
         self._write(records, "state", batch)
         if batch > 0 and batch % self.compact_every == 0:
             self._write(self._newest(batch), "full", batch)

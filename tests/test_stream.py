@@ -7,6 +7,7 @@ import json
 import pytest
 
 from namefold.functions import assets
+from namefold.operators import state
 from namefold.sources import landed, snapshot
 from namefold.streaming import ingest
 
@@ -103,3 +104,35 @@ def test_a_corrupt_record_aborts_the_publish(spark, tmp_path):
     blocks = spark.createDataFrame([(1, "b")], "slot bigint, hash string")
     with pytest.raises(Exception, match="corrupt record in outputs"):
         snapshot.write_snapshot(str(tmp_path / "s"), rows, mints, blocks, 5)
+
+
+def token(seq, height, kind, label, datum, **more):
+    """An output of a labelled token with all that a landed event can carry."""
+    return row(seq, height, "v@a", kind, **{k: v for k, v in more.items() if k in ("mint", "holder")}) | {
+        "label": label, "hex": label + b"v@a".hex(), "datum": datum, "lovelace": 7, "script": {"type": "plutusV2", "cbor": "00"},
+        "datum_holder": "told" if kind == "virtual" else None, "metadata": '{"m":1}' if more.get("mint") else None}
+
+
+def test_the_stream_folds_whole_events(spark, tmp_path):
+    pz = lambda n: f'[{{"image":"img{n}","og_number":0,"version":1}},1,{{"default":true,"resolved_addresses":{{"ada":"0xda{n}","btc":"b{n}"}}}}]'
+    settings = '[[1,0,"t","s",1],[0,1,"u","v",0],5,2,3,"terms",0,"pay"]'
+    rows = [
+        token(1, 1, "virtual", assets.LABEL_VIRTUAL, pz(1), mint=True),
+        row(2, 1, "n", mint=True) | {"lovelace": 9, "script": {"type": "plutusV3", "cbor": "01"}, "datum": "{}", "metadata": '{"n":2}'},
+        token(3, 2, "settings", assets.LABEL_SETTINGS, settings), token(4, 3, "reference", assets.LABEL_REFERENCE, pz(4)), row(5, 4, None, None)]
+    feed, job = tmp_path / "feed", ingest.CurrentState(spark, str(tmp_path / "work"), compact_every=2)
+    for k, part in enumerate((rows[:3], rows[3:])):
+        land(feed, k, part)
+        job.process(landed.read_events(spark, str(feed / f"part{k}.json")), k)
+    last = 1
+    got = {r["name"]: r for r in job.records(last).collect()}
+    land(tmp_path / "all", 0, rows)
+    every = ingest.fold_events(landed.read_events(spark, str(tmp_path / "all")))
+    mints = job.table("mints", last).drop("batch")
+    want = {r["name"]: r for r in state.fold(state.prepare(every), mints).collect()}
+    assert {n: {c: r[c] for c in want[n].asDict()} for n, r in got.items()} == {n: r.asDict() for n, r in want.items()}
+    v, n = got["v@a"], got["n"]
+    assert (v["holder"], v["address"], v["image"], v["default"], v["resolved_addresses"]["btc"]) == ("told", "da1", "img4", True, "b4")
+    assert v["settings"]["utxo_id"] == "t3#0" and v["registry_labels"] == assets.LABEL_SETTINGS and v["reference_utxo"] == "t4#0"
+    assert (n["lovelace"], n["script"]["type"], n["datum"]) == (9, "plutusV3", "{}")
+    assert {(r["name"], r["metadata"]) for r in mints.collect()} == {("v@a", '{"m":1}'), ("n", '{"n":2}')}
