@@ -30,3 +30,14 @@ def test_every_query_but_the_random_page_has_sql():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 168
+
+
+@pytest.mark.parametrize("key", ["repair_records_whole"])
+def test_whole_inputs_equal_their_sql(spark, con, key):
+    assert difference(entry.queries()[key](spark, SF_DIR), con, entry.oracle_sql()[key]) is None
+
+
+def test_the_sql_without_double_mints_differs_from_that_with_them():
+    from namefold.plans import audit_queries, ledger_queries
+
+    assert "f.amount + 1" in ledger_queries.FOLD_ORACLE and "f.amount + 1" not in audit_queries._NO_DOUBLE_MINTS
