@@ -80,6 +80,27 @@ def facet_audit(spark, sf_dir):
     return facets.index_differences(facets.facet_rows(stale, wanted), facets.facet_rows(rows, wanted))
 
 
+_ALL_FACETS = {**_FACETS, "og": "og", "personalized": "personalized", "key_digest": "key_digest"}
+_ALL_ROWS = _FACET_ROWS.removesuffix(")") + " UNION ALL SELECT 'key_digest', key_digest, name FROM records WHERE key_digest IS NOT NULL)"
+
+
+@query("facet_index_whole", _sql(f"WITH {_ALL_ROWS} SELECT facet, value, count(*) AS names FROM facet_rows GROUP BY facet, value"))
+def facet_index_whole(spark, sf_dir):
+    return facets.facet_counts(_faceted(records(spark, sf_dir)), _ALL_FACETS)
+
+
+@query("facet_audit_whole", _sql(f"""WITH {_ALL_ROWS}
+SELECT facet, facet_rows.value, name, 'absent' AS status FROM facet_rows JOIN records USING (name) WHERE asset_id % 29 = 0 OR asset_id % 31 = 0
+UNION ALL SELECT facet, 'ghost', name, 'orphan' FROM facet_rows JOIN records USING (name) WHERE asset_id % 31 = 0 AND asset_id % 29 <> 0"""))
+def facet_audit_whole(spark, sf_dir):
+    """Every facet of the stored index lost some names and kept values that are gone."""
+    rows = _faceted(records(spark, sf_dir))
+    key = F.col("asset_id")
+    stale = facets.facet_rows(rows.filter((key % 29 != 0) & (key % 31 == 0)), _ALL_FACETS).withColumn("value", F.lit("ghost"))
+    stored = facets.facet_rows(rows.filter((key % 29 != 0) & (key % 31 != 0)), _ALL_FACETS).unionByName(stale)
+    return facets.index_differences(stored, facets.facet_rows(rows, _ALL_FACETS))
+
+
 _CONJUNCTIVE = SearchSpec(rarity="common", length="4-6", text="1")
 _CONJUNCTIVE_SQL = "rarity = 'common' AND length BETWEEN 4 AND 6 AND (contains(name, '1') OR contains(hex, '1'))"
 

@@ -32,7 +32,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 168
 
 
-@pytest.mark.parametrize("key", ["repair_records_whole"])
+@pytest.mark.parametrize("key", ["repair_records_whole", "facet_index_whole", "facet_audit_whole"])
 def test_whole_inputs_equal_their_sql(spark, con, key):
     assert difference(entry.queries()[key](spark, SF_DIR), con, entry.oracle_sql()[key]) is None
 
