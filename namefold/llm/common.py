@@ -48,7 +48,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, h
     """At most ``per_class`` labelled documents of each class, never of the held-out fold: (doc_id, text, y).
 
     The choice is by a hash of doc_id, so reruns fit on the same rows. Labels
-    that are null or contradict each other for one doc_id are left out.
+    that are null or contradict each other for one doc_id are left out. Rows
+    that repeat a doc_id come once, with the least text of it.
     """
     clean = (
         labels.select(F.col("doc_id").alias("k"), F.col(target).cast("int").alias("y"))
@@ -60,4 +61,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, h
     picked = [clean.where(F.col("y") == y).orderBy(order, "k").limit(per_class).select("k", "y") for y in (0, 1)]
     texts = docs.select(F.col("doc_id").alias("k"), whole_text(F.col("text")).alias("text"))
     # 2 * per_class rows of a key and a label: a size fixed by the parameter.
-    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "k").select(F.col("k").alias("doc_id"), "text", "y")
+    some = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "k")
+    return some.groupBy("k").agg(F.min("text").alias("text"), F.min("y").alias("y")).select(F.col("k").alias("doc_id"), "text", "y")

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from namefold.llm import bpe, components, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm.common import training_rows
 from namefold.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp string, component_id string, size string"
@@ -278,3 +279,10 @@ def test_an_svg_takes_only_its_own_text():
     # Without an end tag it ends where html goes on.
     assert texts(f"<header>Top<svg><svg></svg></header>{article}") == told == texts(f"<header>Top<svg></header>{article}")
     assert texts(f"{article}<script/>no</script><svg><text>no") == told[1:]
+
+
+def test_a_repeated_doc_id_is_one_training_row(spark):
+    docs = documents(spark, [(1, f"text {k}") for k in range(9)] + [(2, "two"), (2, None), (3, "three"), (None, "x")])
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    found = training_rows(docs, marks, "quality", 3, 99, 5).collect()
+    assert sorted(map(tuple, found)) == [(1, "text 0", 1), (2, "", 0), (3, "three", 1)]
