@@ -28,9 +28,10 @@ _PIECE_CELLS = 1 << 10
 
 
 def cells_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, each padded with zeros to whole cells (one at least), with the next bytes of its last cell; and cells per text."""
-    counts = np.array([max(1, -(-len(t) // CELL)) for t in texts], np.int64)
-    data = b"".join(t.ljust(int(n) * CELL, b"\0") for t, n in zip(texts, counts))
+    """The bytes of all texts, each after WIDTH - 1 zeros and padded with zeros to whole cells; and cells per text. A window over the end of a text meets the zeros before the next one, never its bytes."""
+    lead = b"\0" * (WIDTH - 1)
+    counts = np.array([max(1, -(-(len(t) + WIDTH - 1) // CELL)) for t in texts], np.int64)
+    data = b"".join((lead + t).ljust(int(n) * CELL, b"\0") for t, n in zip(texts, counts))
     return np.frombuffer(data + b"\0" * (WIDTH - 1), np.uint8), counts
 
 

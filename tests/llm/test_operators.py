@@ -286,3 +286,16 @@ def test_a_repeated_doc_id_is_one_training_row(spark):
     marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     found = training_rows(docs, marks, "quality", 3, 99, 5).collect()
     assert sorted(map(tuple, found)) == [(1, "text 0", 1), (2, "", 0), (3, "three", 1)]
+
+
+def test_a_text_scores_the_same_alone_and_beside_others():
+    net = quality_net.Net()
+
+    def logits(texts):
+        data, counts = quality_net.cells_of(texts)
+        first, last, owner = quality_net.chunks_of(counts)
+        return net.combine(quality_net.pool(quality_net.cell_maxima(net.tables(), data), first, last).astype(float), owner, counts)[0]
+
+    texts = [bytes(rng.choices(range(1, 256), k=n)) for n in (64, 3, 0, 59, 60, 123, 128, 700, 1)]
+    alone = [logits([t])[0] for t in texts]
+    assert logits(texts) == pytest.approx(alone, abs=1e-12) and logits(texts[::-1]) == pytest.approx(alone[::-1], abs=1e-12)
