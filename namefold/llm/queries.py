@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm import bpe, decontaminate, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import table
-from namefold.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIXING_SQL, QUALITY_RULES_SQL
+from namefold.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIXING_SQL, QUALITY_RULES_SQL
 
 #: The vocabulary file; every executor has the package that holds it.
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,3 +95,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+@query("op11_decontaminate", DECONTAMINATE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

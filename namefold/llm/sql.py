@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from namefold.llm.decontaminate import BREAK, SPAN
 from namefold.llm.line_dedup import WINDOW
 from namefold.llm.mixing import MOST_REPEATS, SEED, WEIGHTS
 from namefold.llm.quality_rules import MIN_WORDS, RULES, STOP_WORDS
@@ -78,3 +79,24 @@ rated AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM rated
 """
+
+_ITEM_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '')"
+DECONTAMINATE_SQL = f"""
+WITH dw AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, l, array_to_string(w[i:i + l - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), {SPAN}) AS l, unnest(range(1, len(w) - least(len(w), {SPAN}) + 2)) AS i FROM iw WHERE len(w) > 0)),
+found AS (
+  SELECT doc_id, i, l, win
+  FROM (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS win
+        FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM wins) WHERE len(w) >= l))
+  WHERE win IN (SELECT win FROM wins)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM found JOIN wins USING (win)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
