@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, decontaminate, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm import bpe, decontaminate, exact_dedup, html_blocks, line_dedup, merkle, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import table
-from namefold.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MIXING_SQL, QUALITY_RULES_SQL
+from namefold.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MERKLE_SQL, MIXING_SQL, QUALITY_RULES_SQL
 
 #: The vocabulary file; every executor has the package that holds it.
 VOCABULARY = "byte_bpe_50k.json"
@@ -104,3 +104,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op13_merkle", MERKLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.proofs(*merkle.manifest(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from namefold.llm.decontaminate import BREAK, SPAN
 from namefold.llm.line_dedup import WINDOW
+from namefold.llm.merkle import ARITY
 from namefold.llm.mixing import MOST_REPEATS, SEED, WEIGHTS
 from namefold.llm.quality_rules import MIN_WORDS, RULES, STOP_WORDS
 
@@ -100,3 +101,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+#: Levels that the SQL below can climb: sources and documents of a source up to ARITY to this power.
+_CLIMB = 5
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _tree(name: str, lowest: str) -> str:
+    """All levels above ``lowest`` (tree, pos, whole, node), the trees' roots, and each level's runs of siblings."""
+    levels = "".join(
+        f"{name}{k + 1} AS (SELECT tree, t.pos // {ARITY} AS pos, (min(whole) + {ARITY - 1}) // {ARITY} AS whole, sha256(string_agg(node, '' ORDER BY t.pos)) AS node"
+        f" FROM {name}{k} t WHERE whole > 1 GROUP BY tree, t.pos // {ARITY}),\n" for k in range(_CLIMB)
+    )
+    roots = " UNION ALL ".join(f"SELECT tree, node FROM {name}{k} WHERE whole = 1" for k in range(_CLIMB + 1))
+    runs = ",\n".join(f"{name}_runs{k} AS (SELECT tree, t.pos // {ARITY} AS run, list(node ORDER BY t.pos) AS nodes FROM {name}{k} t WHERE whole > 1 GROUP BY tree, t.pos // {ARITY})" for k in range(_CLIMB))
+    return f"{name}0 AS ({lowest}),\n{levels}{name}_roots AS ({roots}),\n{runs}"
+
+
+def _climb(name: str, start: str) -> str:
+    """From (tree, pos, proof, folded) of each leaf up to its tree's root."""
+    steps = "".join(
+        f"""{name}_up{k + 1} AS (
+  SELECT u.* REPLACE (u.pos // {ARITY} AS pos, proof || coalesce(array_to_string(nodes[1:u.pos % {ARITY}], '') || array_to_string(nodes[u.pos % {ARITY} + 2:], ''), '') AS proof,
+    CASE WHEN nodes IS NULL THEN folded ELSE sha256(array_to_string(nodes[1:u.pos % {ARITY}], '') || folded || array_to_string(nodes[u.pos % {ARITY} + 2:], '')) END AS folded)
+  FROM {name}_up{k} u LEFT JOIN {name}_runs{k} r ON u.tree = r.tree AND u.pos // {ARITY} = r.run),
+""" for k in range(_CLIMB)
+    )
+    return f"{name}_up0 AS ({start}),\n{steps}"
+
+
+_LOWER = "translate(CAST(text AS VARCHAR), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"""
+MERKLE_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({_LEAF} || {_field("text")}) AS leaf,
+         CASE WHEN {_CRC32} % 5 = 0 THEN sha256({_LEAF} || {_field(_LOWER)}) END AS changed FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS whole FROM leaves),
+{_tree("doc", "SELECT tree, pos, whole, leaf AS node FROM numbered")},
+{_tree("src", "SELECT 1 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS whole, node, tree AS source FROM doc_roots")},
+{_climb("doc", "SELECT doc_id, tree, pos, '' AS proof, coalesce(changed, leaf) AS folded, leaf, tree AS source FROM numbered")}
+{_climb("src", f"SELECT u.doc_id, 1 AS tree, s.pos, u.proof, u.folded, u.leaf, s.node AS subroot FROM doc_up{_CLIMB} u JOIN src0 s USING (source)")}
+done AS (SELECT u.*, r.node AS root FROM src_up{_CLIMB} u, src_roots r)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM done
+"""
