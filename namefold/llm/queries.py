@@ -7,21 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, decontaminate, exact_dedup, html_blocks, line_dedup, merkle, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm import align, bpe, decontaminate, exact_dedup, html_blocks, line_dedup, merkle, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import table
 from namefold.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MERKLE_SQL, MIXING_SQL, QUALITY_RULES_SQL
+from namefold.scratch import materialize
 
 #: The vocabulary file; every executor has the package that holds it.
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def query(key: str, sql: str | None = None):
@@ -106,6 +108,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = vocabulary(), vocabulary(PIECES)
+    found = align.aligned(table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    stored = materialize(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return align.linked(stored, align.load(*files).size_b).select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+    )
+
+
 @query("op13_merkle", MERKLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.proofs(*merkle.manifest(table(spark, sf_dir, "documents")))
