@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -125,32 +125,40 @@ class Tokens:
 
 @dataclass
 class Groups:
-    """Closed groups: their ids, how many of each belong to each group, and the links: pair codes, ascending, with how often."""
+    """Closed groups: their ids, how many of each belong to each group, and the pair codes of all links."""
 
     a: np.ndarray
     b: np.ndarray
     a_n: np.ndarray
     b_n: np.ndarray
-    pair: np.ndarray
-    times: np.ndarray
+    links: np.ndarray
 
     def __add__(self, other: Groups) -> Groups:
-        pair, place = np.unique(np.concatenate([self.pair, other.pair]), return_inverse=True)
-        times = np.zeros(len(pair), np.int64)
-        np.add.at(times, place, np.concatenate([self.times, other.times]))
-        joined = (np.concatenate(x) for x in ((self.a, other.a), (self.b, other.b), (self.a_n, other.a_n), (self.b_n, other.b_n)))
-        return Groups(*joined, pair, times)
+        return Groups(*(np.concatenate(x) for x in zip(self.parts(), other.parts())))
 
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.a, self.b, self.a_n, self.b_n, self.links
+
+
+def merged(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of both, each once, and those that are common."""
+    every = np.sort(np.concatenate([tokens.a_end, tokens.b_end]), kind="stable")
+    again = every[1:] == every[:-1]
+    return every[np.concatenate([[True], ~again])] if len(every) else every, every[1:][again]
 
-def closed(tokens: Tokens, ends: np.ndarray, size_b: int) -> Groups:
-    """The groups of tokens that begin at a common end and end at each of ``ends``, the last included."""
-    every = np.union1d(tokens.a_end, tokens.b_end)
-    code = tokens.a[np.searchsorted(tokens.a_end, every)] * size_b + tokens.b[np.searchsorted(tokens.b_end, every)]
+
+def closed(tokens: Tokens, every: np.ndarray, ends: np.ndarray, size_b: int) -> Groups:
+    """The groups of tokens that begin at a common end and end at each of ``ends``, the last included; ``every`` is all their ends."""
+    links = tokens.a[np.searchsorted(tokens.a_end, every)] * size_b + tokens.b[np.searchsorted(tokens.b_end, every)]
     counts = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (tokens.a_end, tokens.b_end))
-    return Groups(tokens.a, tokens.b, *counts, *np.unique(code, return_counts=True))
+    return Groups(tokens.a, tokens.b, *counts, links)
+
+
+def one_group(tokens: Tokens, size_b: int) -> Groups:
+    return closed(tokens, merged(tokens)[0], tokens.a_end[-1:], size_b)
 
 
-NOTHING, NO_GROUPS = Tokens(_NO, _NO, _NO, _NO), Groups(_NO, _NO, _NO, _NO, _NO, _NO)
+NOTHING, NO_GROUPS = Tokens(_NO, _NO, _NO, _NO), Groups(_NO, _NO, _NO, _NO, _NO)
 
 
 @dataclass
@@ -168,11 +176,12 @@ EMPTY = Fragment(NOTHING, NO_GROUPS, NOTHING, False)
 
 
 def fragment(tokens: Tokens, same: bool, size_b: int) -> Fragment:
-    common = np.intersect1d(tokens.a_end, tokens.b_end, assume_unique=True)
+    every, common = merged(tokens)
     if not len(common):
         return Fragment(tokens, NO_GROUPS, NOTHING, False, same)
     first, last = common[0], common[-1]
-    body = closed(tokens.between(first, last), common[1:], size_b) if first < last else NO_GROUPS
+    inner = every[slice(*np.searchsorted(every, (first, last), "right"))]
+    body = closed(tokens.between(first, last), inner, common[1:], size_b) if first < last else NO_GROUPS
     return Fragment(tokens.between(-1, first), body, tokens.between(last, np.iinfo(np.int64).max), True, same)
 
 
@@ -184,7 +193,7 @@ def join(x: Fragment, y: Fragment, size_b: int) -> Fragment:
     if not x.cut:
         return Fragment(x.head + y.head, y.body, y.tail, True, same)
     between = x.tail + y.head
-    return Fragment(x.head, x.body + closed(between, between.a_end[-1:], size_b) + y.body, y.tail, True, same)
+    return Fragment(x.head, x.body + one_group(between, size_b) + y.body, y.tail, True, same)
 
 
 def fold(parts: list[Fragment], size_b: int) -> Fragment:
@@ -197,8 +206,7 @@ def ended(whole: Fragment, size_b: int) -> Groups:
     """All groups of a text from the fragment of its whole range. None where a tokenizer does not give back its bytes."""
     if not whole.same or not whole.cut:
         return NO_GROUPS
-    first = closed(whole.head, whole.head.a_end[-1:], size_b)
-    return first + whole.body if len(whole.body.a_n) else first
+    return one_group(whole.head, size_b) + whole.body
 
 
 def of_range(text: str, start: int, known: Vocabularies, width: int = RANGE) -> Fragment:
@@ -225,29 +233,30 @@ def chunks(text: str, least: int = CHUNK) -> Iterator[tuple[int, str]]:
 
 
 _RESULT = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
-_LISTS = ("head_a", "head_a_end", "head_b", "head_b_end", "body_a", "body_b", "body_a_n", "body_b_n", "pair", "times", "tail_a", "tail_a_end", "tail_b", "tail_b_end")
+_LISTS = ("head_a", "head_a_end", "head_b", "head_b_end", "body_a", "body_b", "body_a_n", "body_b_n", "links", "tail_a", "tail_a_end", "tail_b", "tail_b_end")
 _FRAGMENT = "no long, n long, same boolean, cut boolean, " + ", ".join(f"{c} array<long>" for c in _LISTS)
 _LONGS = pa.list_(pa.int64())
 
 
 def _results(ids: dict[str, pa.Array], whole: list[Groups], known: Vocabularies) -> pa.RecordBatch:
+    pairs = [np.unique(g.links, return_counts=True) for g in whole]
     columns = {
         **ids, "n_a": [len(g.a) for g in whole], "n_b": [len(g.b) for g in whole], "n_groups": [len(g.a_n) for g in whole],
-        "n_links": [int(g.times.sum()) for g in whole], "groups": pa.array([known.write(g) for g in whole], pa.string()),
-        "pairs": pa.array([g.pair for g in whole], _LONGS), "times": pa.array([g.times for g in whole], _LONGS),
+        "n_links": [len(g.links) for g in whole], "groups": pa.array([known.write(g) for g in whole], pa.string()),
+        "pairs": pa.array([x for x, _ in pairs], _LONGS), "times": pa.array([n for _, n in pairs], _LONGS),
     }
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
 def _packed(ids: dict[str, pa.Array], parts: list[Fragment]) -> dict[str, pa.Array]:
-    lists = zip(*((*f.head.parts(), f.body.a, f.body.b, f.body.a_n, f.body.b_n, f.body.pair, f.body.times, *f.tail.parts()) for f in parts))
+    lists = zip(*((*f.head.parts(), *f.body.parts(), *f.tail.parts()) for f in parts))
     flags = {"same": pa.array([f.same for f in parts], pa.bool_()), "cut": pa.array([f.cut for f in parts], pa.bool_())}
     return {**ids, **flags, **{c: pa.array(list(values), _LONGS) for c, values in zip(_LISTS, lists)}}
 
 
 def _unpacked(rows: pa.Table | pa.RecordBatch, i: int) -> Fragment:
     v = [np.array(rows.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in _LISTS]
-    return Fragment(Tokens(*v[:4]), Groups(*v[4:10]), Tokens(*v[10:]), rows.column("cut")[i].as_py(), rows.column("same")[i].as_py())
+    return Fragment(Tokens(*v[:4]), Groups(*v[4:9]), Tokens(*v[9:]), rows.column("cut")[i].as_py(), rows.column("same")[i].as_py())
 
 
 def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -339,15 +348,15 @@ def linked(found: DataFrame, size_b: int) -> DataFrame:
     ties included; count_sum is the sum over links.
 
     Scale: pairs are counted per task before they are shuffled; the counts are
-    stored, so the planner broadcasts them by their known size or else joins
-    with hot pairs split, and a document's links are summed per task first.
+    stored and, at every size, sorted and merged with the links, hot pairs
+    split; a document's links are summed per task before they are shuffled.
     """
     each = found.select("rid", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("times"))))
     counts = each.groupBy("pair").agg(F.count("*").alias("count")).withColumn("a", F.floor(F.col("pair") / size_b).cast("long"))
     counts = materialize(counts, "pairs")
     best = counts.groupBy("a").agg(F.max("count").alias("best"))
     judged = materialize(counts.join(best, "a").select("pair", "count", (F.col("count") == F.col("best")).alias("is_best")), "pairs")
-    summed = each.join(judged, "pair").groupBy("rid").agg(
+    summed = each.join(judged.hint("merge"), "pair").groupBy("rid").agg(
         F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"),
     )
     out = found.drop("pairs", "times").join(summed.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left").drop("of")
