@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from namefold.llm.common import whole_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
 _NONE = 1 << 62
-#: Words up to this length are remembered, at most so many of them at a time.
-REMEMBERED_LENGTH, REMEMBERED = 64, 400_000
-GROUP_CHARS = 1 << 20
+#: Words, and pieces between spaces, up to this length are remembered, at most so many at a time: some 200 bytes each, 60 MB a worker.
+REMEMBERED_LENGTH, REMEMBERED_WORDS, REMEMBERED_PIECES = 64, 250_000, 100_000
+GROUP_CHARS = 1 << 19
 _ADJACENT, _SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -58,24 +59,24 @@ class Bpe:
         self.special = {word: np.array([k], "<u4").tobytes() for word, k in added.items()}
         self.borders = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = regex.compile(PATTERN)
-        self.longest = max(map(len, self.ids))
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         halves: dict[int, tuple[int, int, int]] = {}
+        #: rank * size + whole by left * size + right.
+        self.packed: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (bytes(letters[c] for c in half) for half in (pair.split(" ") if isinstance(pair, str) else pair))
             a, b, whole = self.ids[left], self.ids[right], self.ids[left + right]
-            self.merges.setdefault((a, b), (rank, whole))
+            self.packed.setdefault(a * self.size + b, rank * self.size + whole)
             halves.setdefault(whole, (a, b, rank))
-        self.packed = {a * self.size + b: rank * self.size + whole for (a, b), (rank, whole) in self.merges.items()}
-        codes = np.array([a * self.size + b for a, b in self.merges], np.int64)
+        codes = np.fromiter(self.packed, np.int64, len(self.packed))
         order = np.argsort(codes)
-        self.codes, self.ranks = codes[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.codes, self.ranks = codes[order], (np.fromiter(self.packed.values(), np.int64, len(codes)) // self.size)[order]
         self.right_edge, self.right_until = self._edge(halves, 1)
         self.left_edge, self.left_until = self._edge(halves, 0)
         # Only tokens that merging their own bytes gives back may be proposed.
-        self.proposed = {word: k for word, k in self.ids.items() if len(word) == 1 or self.merge(word) == [k]}
-        self.starts = {word[:k] for word in self.proposed for k in range(1, len(word) + 1)}
+        proposed = {word: k for word, k in self.ids.items() if len(word) == 1 or self.merge(word) == [k]}
+        #: Every beginning of such a token: its own id where it is one, else -1.
+        self.starts = {word[:k]: -1 for word in proposed for k in range(1, len(word))} | proposed
         self.memory: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -90,7 +91,7 @@ class Bpe:
                 row.append((until, rank))
             rows.append(row)
         width = max(map(len, rows))
-        edge, until_rank = np.full((self.size, width), -1, np.int64), np.full((self.size, width), -1, np.int64)
+        edge, until_rank = np.full((self.size, width), -1, np.int32), np.full((self.size, width), -1, np.int32)
         for token, row in enumerate(rows):
             edge[token, : len(row)], until_rank[token, : len(row)] = [x for x, _ in row], [r for _, r in row]
         return edge, until_rank
@@ -112,33 +113,36 @@ class Bpe:
                     ranks[i - 1] = found(token[i - 1] * size + token[i], _NONE)
             return token
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(found[0], i, token[i], token[i + 1]) for i in range(n - 1) if (found := self.merges.get((token[i], token[i + 1])))]
+        found, size = self.packed.get, self.size
+        heap = [(best, i, token[i], token[i + 1]) for i in range(n - 1) if (best := found(token[i] * size + token[i + 1], _NONE)) < _NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i] if token[i] == a else -1
             if j < 0 or token[j] != b:
                 continue
-            token[i], token[j] = self.merges[a, b][1], -1
+            token[i], token[j] = best % size, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (found := self.merges.get((token[left], token[right]))):
-                    heapq.heappush(heap, (found[0], left, token[left], token[right]))
+                if left >= 0 and right >= 0 and (best := found(token[left] * size + token[right], _NONE)) < _NONE:
+                    heapq.heappush(heap, (best, left, token[left], token[right]))
         return [t for t in token if t >= 0]
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy: at each place the longest token."""
-        out, at, n, starts, known = [], 0, len(word), self.starts, self.proposed
+        out, at, n, found = [], 0, len(word), self.starts.get
         while at < n:
-            end = best = at + 1
-            while end <= n and word[at:end] in starts:
-                if word[at:end] in known:
-                    best = end
-                end += 1
-            out.append(known[word[at:best]])
-            at = best
+            best, end = found(word[at : at + 1]), at + 1
+            for stop in range(at + 2, n + 1):
+                token = found(word[at:stop])
+                if token is None:
+                    break
+                if token >= 0:
+                    best, end = token, stop
+            out.append(best)
+            at = end
         return out
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -153,7 +157,7 @@ class Bpe:
                 live = np.flatnonzero((x >= 0) & (y >= 0) & good)
                 if not len(live):
                     break
-                code = x[live] * self.size + y[live]
+                code = x[live].astype(np.int64) * self.size + y[live]
                 at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
                 # The border lies right of what consumes x and left of what consumes y; of equal ranks the leftmost merges first.
                 crosses = (self.codes[at] == code) & (self.ranks[at] < x_until[live]) & (self.ranks[at] <= y_until[live])
@@ -165,13 +169,17 @@ class Bpe:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         proposals = [self.propose(b) for b in raw]
         counts = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(proposals)), counts)
         inner = np.flatnonzero(owner[:-1] == owner[1:])
         pairs, place = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)
         failed = set(owner[inner[~good[place]]].tolist())
-        return {w: np.array(self.merge(raw[i]) if i in failed else proposals[i], "<u4").tobytes() for i, w in enumerate(words)}
+        for i in failed:
+            proposals[i] = self.merge(raw[i])
+        ends = (4 * np.cumsum(np.fromiter(map(len, proposals), np.int64, len(proposals)))).tolist()
+        packed = np.fromiter(chain.from_iterable(proposals), "<u4").tobytes()
+        return {w: packed[i:j] for w, i, j in zip(words, [0, *ends], ends)}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; strings of added tokens become those tokens.
@@ -188,21 +196,21 @@ class Bpe:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        pieces = self.pieces
+        memory, pieces = self.memory, self.pieces
+        for known, most in ((memory, REMEMBERED_WORDS), (pieces, REMEMBERED_PIECES)):
+            if len(known) > most:  # the older half goes; what is frequent soon comes back
+                for old in list(islice(known, len(known) - most // 2)):
+                    del known[old]
         cut = [self._cut(text) for text in texts]
         new = {p for parts in cut for part in parts for p in part[1:] if p not in pieces}
         heads = {part[0] for parts in cut for part in parts if part[0] not in self.special}
         words = {p: self.words.findall(f" {p}") for p in new}
         first = {p: self.words.findall(p) for p in heads}
-        memory = self.memory
         unknown = {w for found in (words, first) for several in found.values() for w in several if w not in memory}
         memory.update(self.learn(list(unknown)))
         pieces.update((p, b"".join([memory[w] for w in found])) for p, found in words.items())
         starts = self.special | {p: b"".join([memory[w] for w in found]) for p, found in first.items()}
+        del words, first
         for parts in cut:
             yield b"".join([starts[part[0]] + b"".join([pieces[p] for p in part[1:]]) for part in parts])
         for known, fresh in ((memory, unknown), (pieces, new)):
@@ -257,6 +265,8 @@ def digests(path: str):
             rows = []
             for ids in bpe.encode(t.as_py() for t in texts):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            del texts
+            pa.default_memory_pool().release_unused()
             n, ids_sha, decoded_sha = zip(*rows) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
