@@ -30,8 +30,8 @@ from namefold.llm.common import whole_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
 _NONE = 1 << 62
-#: Words, and pieces between spaces, up to this length are remembered, at most so many at a time: some 200 bytes each, 60 MB a worker.
-REMEMBERED_LENGTH, REMEMBERED_WORDS, REMEMBERED_PIECES = 64, 250_000, 100_000
+#: Words, and pieces between spaces, up to this length are remembered, at most so many at a time: some 200 bytes each, 40 MB a worker.
+REMEMBERED_LENGTH, REMEMBERED_WORDS, REMEMBERED_PIECES = 64, 150_000, 50_000
 GROUP_CHARS = 1 << 19
 _ADJACENT, _SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
@@ -47,6 +47,9 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: not byte-level merging of the pattern's words without a normalizer")
         letters = byte_letters()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {bytes(letters[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in added}

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker together where whole texts go there: the setting counts rows only, and 10,000 texts have no size bound worth the name.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size to `BATCH_ROWS`; a lower one stays."""
+    rows = int(spark.conf.get(_BATCH_SETTING))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
