@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namefold.llm import bpe, exact_dedup, mixing, quality_net, simhash
-from namefold.llm.common import table
+from namefold.llm.common import in_small_batches, table, text_key
 from namefold.llm.queries import vocabulary
 from namefold.scratch import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier does not reject."""
+    in_small_batches(spark)
     return quality_net.classified(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("row.*")
 
 
@@ -27,8 +28,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document: that with the least doc_id, the first of those by text hash where ids repeat."""
+    in_small_batches(spark)
     chosen = simhash.near_duplicates(docs).where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return chosen.dropDuplicates(["root"]).select("row.*")
+    return chosen.groupBy("root").agg(F.min_by("row", text_key(F.col("row.text"))).alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document and copy: its ids' number, their digest and the digest of what they decode to."""
+    in_small_batches(spark)
     return bpe.token_digests(docs, vocabulary()).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
