@@ -211,7 +211,7 @@ def proofs(leaves: DataFrame, stored: Manifest) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     empty = [none.alias("lefts"), none.alias("rights")]
-    root = stored.sources.roots.select(*TREE, F.lit(0).cast("long").alias("at"), "node", *empty, F.col("node").alias("subroot"), F.col("node").alias("root"))
+    root = materialize(stored.sources.roots.select(*TREE, F.lit(0).cast("long").alias("at"), "node", *empty, F.col("node").alias("subroot"), F.col("node").alias("root")), "root")
     ranked = stored.sources.stored[0]
     reached = _under(ranked, paths_above(stored.sources.stored, root), root).applyInArrow(_descend, _PATH)
     tops = materialize(reached.join(ranked.select(*TREE, "at", "of_named", "of_name"), [*TREE, "at"]).select(
