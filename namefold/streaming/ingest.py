@@ -12,10 +12,10 @@ not released yet), ``undo`` and ``status``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
@@ -30,6 +30,14 @@ class GapError(ValueError):
     """The feed skipped a block height."""
 
 
+class LateRowsError(RuntimeError):
+    """The feed holds rows of an applied block that were not applied with it."""
+
+
+class EndedBeforeTipError(RuntimeError):
+    """The feed ended before the block it was to be read up to."""
+
+
 class UndoneStateError(RuntimeError):
     """Tables hold blocks that the chain has taken back."""
 
@@ -56,6 +64,11 @@ def distinct_events(rows: DataFrame) -> DataFrame:
     return first.select(*keys, "r.*").select(*rows.columns)
 
 
+def row_digest() -> Column:
+    """What a row says, whenever and in whatever order it was delivered."""
+    return F.xxhash64(*[c for c in landed.EVENT_COLUMNS if c not in ("seq", "action")])
+
+
 def check_contiguous(rows: DataFrame, last_height: int | None) -> tuple[int | None, int]:
     """Newest height and number of the released blocks; a missing height is an error."""
     low, high, count = rows.agg(F.min("height"), F.max("height"), F.count_distinct("height")).first()
@@ -89,6 +102,7 @@ class BlockLedger:
 
     spark: SparkSession
     work: str
+    until: int | None = field(default=None, kw_only=True)  # newest height to apply; later blocks are held
 
     def _path(self, table: str, batch: int) -> str:
         return f"{self.work}/{table}/batch={batch}"
@@ -154,11 +168,15 @@ class BlockLedger:
                 early, late = rows.filter(F.lit(False)), rows
             early = self._without_applied(early, last_height, batch)
             released, tip = complete_blocks(early)
+            if self.until is not None:
+                tip = tip.unionByName(released.filter(F.col("height") > self.until))
+                released = released.filter(F.col("height") <= self.until)
             height, blocks = check_contiguous(released, last_height)
             undone = rows.filter(F.col("action") == "undo").select(
                 "seq", "slot", "height", "hash", (F.col("height") <= F.lit(-1 if height is None else height)).alias("applied"))
             names = self.apply(released, batch)
             self._write(released.select("slot", "height", "hash").distinct(), "blocks", batch)
+            self._write(released.select("height", "hash", row_digest().alias("digest")).distinct(), "applied", batch)
             self._write(undone, "undo", batch)
             self._write(late if halted else tip.unionByName(late), "held", batch)
             stopped = F.lit(halted) | (undone.agg(F.count("*")).scalar() > 0)
@@ -170,13 +188,22 @@ class BlockLedger:
             rows.unpersist()
 
     def _without_applied(self, rows: DataFrame, last_height: int | None, batch: int) -> DataFrame:
-        """Rows above the applied blocks. A block delivered again is ignored; another block at its height is an error."""
+        """Rows above the applied blocks. A row delivered again is ignored; another block at
+        an applied height, and a row that its block was applied without, are errors."""
         again = F.col("height") <= F.lit(-1 if last_height is None else last_height)
-        repeated = rows.filter(again).select("height", "hash").distinct()
-        if repeated.isEmpty():
+        repeated = rows.filter(again).select("height", "hash", row_digest().alias("digest")).distinct()
+        low, high = repeated.agg(F.min("height"), F.max("height")).first()
+        if low is None:
             return rows
-        if not repeated.join(self.table("blocks", batch - 1).select("height", "hash"), ["height", "hash"], "left_anti").isEmpty():
+        # Only the heights in question are read of what was applied.
+        known = F.col("height").between(low, high)
+        other = repeated.join(self.table("blocks", batch - 1).filter(known).select("height", "hash"), ["height", "hash"], "left_anti")
+        if not other.isEmpty():
             raise GapError(f"feed holds another block at or below the applied height {last_height}")
+        applied = self.table("applied", batch - 1).filter(known).select("height", "hash", "digest")
+        late = repeated.join(applied, ["height", "hash", "digest"], "left_anti").agg(F.min("height"), F.count("*")).first()
+        if late[1]:
+            raise LateRowsError(f"{late[1]} rows of applied blocks came late, the first for height {late[0]}")
         return rows.filter(~again)
 
     def apply(self, released: DataFrame, batch: int) -> int:
@@ -235,7 +262,11 @@ class CurrentState(BlockLedger):
 
 
 def run(job: BlockLedger, feed: str, *, files_per_batch: int = 1) -> None:
-    """Process all landed files of a feed and stop; run it again to go on."""
+    """Process all landed files of a feed and stop; run it again to go on.
+
+    With ``job.until`` it is an error if the feed ends before that block is applied;
+    a block is applied once the feed shows a later one.
+    """
     query = (
         landed.stream_events(job.spark, feed, files_per_batch=files_per_batch)
         .writeStream.foreachBatch(job.process)
@@ -244,6 +275,10 @@ def run(job: BlockLedger, feed: str, *, files_per_batch: int = 1) -> None:
         .start()
     )
     query.awaitTermination()
+    if job.until is not None:
+        height = job.table("status", last_batch(job)).agg(F.max("last_height")).first()[0]
+        if height is None or height < job.until:
+            raise EndedBeforeTipError(f"feed ended at height {height}, before {job.until}")
 
 
 def last_batch(job: BlockLedger) -> int:

@@ -60,6 +60,31 @@ def test_a_gap_stops_the_job(spark, tmp_path):
         ingest.run(job, str(feed))
 
 
+def test_late_rows_of_an_applied_block_stop_the_job(spark, tmp_path):
+    feed, job = tmp_path / "feed", ingest.BlockLedger(spark, str(tmp_path / "work"))
+    land(feed, 1, [row(1, 1, "a", tx="t"), row(2, 1, "b", tx="t"), row(3, 2), row(4, 3)])
+    ingest.run(job, str(feed))
+    land(feed, 2, [row(5, 1, "a", tx="t"), row(6, 4)])  # a part of block 1 delivered again says nothing new
+    ingest.run(job, str(feed))
+    last = ingest.last_batch(job)
+    assert sorted(r["height"] for r in job.table("blocks", last).collect()) == [1, 2, 3]
+    land(feed, 3, [row(7, 1, "cc", tx="t"), row(8, 5)])
+    with pytest.raises(Exception, match="1 rows of applied blocks came late, the first for height 1"):
+        ingest.run(job, str(feed))
+
+
+def test_a_tip_bounds_the_run(spark, tmp_path):
+    feed, job = tmp_path / "feed", ingest.BlockLedger(spark, str(tmp_path / "work"), until=3)
+    land(feed, 1, [row(1, 1), row(2, 2), row(3, 3)])
+    with pytest.raises(ingest.EndedBeforeTipError, match="ended at height 2, before 3"):
+        ingest.run(job, str(feed))
+    land(feed, 2, [row(4, 4), row(5, 5), row(6, 6)])
+    ingest.run(job, str(feed))
+    last = ingest.last_batch(job)
+    assert sorted(r["height"] for r in job.table("blocks", last).collect()) == [1, 2, 3]
+    assert sorted(r["height"] for r in job.table("held", last).filter(f"batch = {last}").collect()) == [4, 5, 6]
+
+
 def test_an_undo_halts_until_resumed(spark, tmp_path):
     feed, job = tmp_path / "feed", ingest.BlockLedger(spark, str(tmp_path / "work"))
     land(feed, 1, [row(1, 1), row(2, 2), row(3, 3), row(4, 3, action="undo"), row(5, 3) | {"hash": "c3"}, row(6, 4)])
