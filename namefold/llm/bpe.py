@@ -30,8 +30,8 @@ from namefold.llm.common import whole_text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
 _NONE = 1 << 62
-#: Words, and pieces between spaces, up to this length are remembered, at most so many at a time: some 200 bytes each, 40 MB a worker.
-REMEMBERED_LENGTH, REMEMBERED_WORDS, REMEMBERED_PIECES = 64, 150_000, 50_000
+#: Words, and pieces between spaces, up to this length are remembered, at most so many at a time: some 200 bytes each, 130 MB a worker at most.
+REMEMBERED_LENGTH, REMEMBERED_WORDS, REMEMBERED_PIECES = 64, 400_000, 250_000
 GROUP_CHARS = 1 << 19
 _ADJACENT, _SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
