@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning: sentence scores, joined by noisy-or, learnt from document labels.
 
-A sentence's probability is logistic in its hashed words; a document is toxic
-unless no sentence is. Training sees only the documents' labels, yet the
-sentence scores it leaves behind tell which sentences offend.
+A sentence's hazard, -log(1 - its probability), is the softplus of bias and its
+hashed words' weights, less that of the bias alone: a sentence without a learnt
+word adds nothing, however many there are. A document is toxic unless no
+sentence is, but for a small leak. Training sees only the documents' labels, yet
+the sentence scores it leaves behind tell which sentences offend. Training and
+scoring take the same sum, over the set of a sentence's buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Bound of the training sample: at most so many labelled documents of each class are read by the driver.
 SAMPLE_PER_CLASS = 1200
 DIMS = 1 << 17
-ROUNDS, RATE, SPARSITY, START = 150, 0.1, 3e-4, -9.3
+ROUNDS, RATE, SPARSITY, BIAS = 150, 0.1, 3e-4, -7.0
+#: Hazard of a document of which no sentence has a learnt word.
+LEAK = 1e-3
 LEAST_DOCUMENTS = 5
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,8 +41,11 @@ def buckets(word: str) -> set[int]:
 
 
 def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias: Adam on the log loss of the noisy-or, with a soft threshold that keeps few words."""
-    weights, bias = np.zeros(DIMS), START
+    """Weights and the fixed bias: Adam on the log loss of the noisy-or, with a soft threshold that keeps few words.
+
+    A bias that learns as well rises with the threshold until plain sentences carry the labels.
+    """
+    weights, bias = np.zeros(DIMS), BIAS
     if len({y for _, y in rows}) < 2:
         return weights, bias
     words, sentence_of, document_of = [], [], []
@@ -54,21 +62,21 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     documents_with = np.bincount(np.unique(word * len(rows) + document[sentence]) // len(rows), minlength=DIMS)
     usual = documents_with >= LEAST_DOCUMENTS
     sentence, word = sentence[usual[word]], word[usual[word]]
-    m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
+    m, v = np.zeros(DIMS), np.zeros(DIMS)
     for step in range(1, ROUNDS + 1):
         z = bias + np.bincount(sentence, weights[word], len(document))
-        hazard = np.logaddexp(0, z)
-        total = np.maximum(np.bincount(document, hazard, len(y)), 1e-9)
+        hazard = np.maximum(np.logaddexp(0, z) - np.logaddexp(0, bias), 0)
+        total = LEAK + np.bincount(document, hazard, len(y))
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / len(y)
+        # Sentences below the bias go on learning, though their hazard is cut at zero.
         dz = slope[document] / (1 + np.exp(-z))
-        g, gb = np.bincount(word, dz[sentence], DIMS), dz.sum()
-        m, v, mb, vb = m + 0.1 * (g - m), v + 0.001 * (g * g - v), mb + 0.1 * (gb - mb), vb + 0.001 * (gb * gb - vb)
+        g = np.bincount(word, dz[sentence], DIMS)
+        m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
         rate = RATE * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         scale = rate / (np.sqrt(v) + 1e-6)
         weights = weights - scale * m
         weights = np.sign(weights) * np.maximum(np.abs(weights) - scale * SPARSITY, 0)
-        bias -= rate * mb / (math.sqrt(vb) + 1e-6)
-    return weights, float(bias)
+    return weights, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -83,29 +91,32 @@ def scorer(weights: np.ndarray, bias: float):
 
     @F.arrow_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory: dict[str, float] = {}
+        memory: dict[str, tuple[int, ...]] = {}
         kind = pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
-        even = math.log1p(math.exp(bias))
+        base = math.log1p(math.exp(bias))
         for texts in batches:
             rows = []
             for text in (t for group in text_groups(texts) for t in group):
-                hazard, spans = 0.0, []
+                hazard, spans = LEAK, []
                 if len(memory) > REMEMBERED:
                     memory.clear()
                 for found in _SENTENCE.finditer(text):
-                    z = 0.0
-                    for word in set(_WORD.findall(found[0].lower())):
-                        w = memory.get(word)
-                        if w is None:
-                            w = memory[word] = sum(sparse.get(k, 0.0) for k in buckets(word))
-                        z += w
-                    if z == 0.0:
-                        hazard += even
+                    learnt: set[int] = set()
+                    for word in _WORD.findall(found[0].lower()):
+                        known = memory.get(word)
+                        if known is None:
+                            known = memory[word] = tuple(k for k in buckets(word) if k in sparse)
+                        learnt.update(known)
+                    if not learnt:
+                        continue
+                    z = bias + math.fsum(sparse[k] for k in learnt)
+                    more = (z if z > 30 else math.log1p(math.exp(z))) - base
+                    if more <= 0:
                         continue
-                    z += bias
-                    hazard += z if z > 30 else math.log1p(math.exp(z))
-                    if z >= 0:
-                        spans.append({"start": found.start(), "end": found.end(), "score": 1 / (1 + math.exp(-z))})
+                    hazard += more
+                    p = -math.expm1(-more)
+                    if p >= 0.5:
+                        spans.append({"start": found.start(), "end": found.end(), "score": p})
                 rows.append({"score": -math.expm1(-hazard), "offending": spans})
             yield pa.array(rows, kind)
 
@@ -115,8 +126,8 @@ def scorer(weights: np.ndarray, bias: float):
 def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row`` (all input columns), ``held_out``, ``score``, ``predicted`` and ``offending`` sentences (score 0.5 or more).
 
-    A null or empty text has no sentence and scores 0. Without labels of both
-    classes every sentence has the same small score. Repeated rows score
+    A null, empty or neutral text of any length has the leak's score, 0.001;
+    without labels of both classes every text has. Repeated rows score
     alike; an empty table gives no rows. Scale: the model is a bounded number
     of weights; scoring has no shuffle.
     """

@@ -201,6 +201,27 @@ def test_classifiers_tell_held_out_rows_apart(spark):
         assert apply(docs, marks.limit(0)).count() == 123 and apply(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_scores_against_a_plain_sum(spark):
+    docs, marks = labelled(spark)
+    weights, bias = toxicity.fit(docs, marks)
+    plain = " ".join(f"Lorem{k % 700} ipsum{k % 13} dolor." for k in range(7000))
+    extra = documents(spark, [(1000, plain), (1001, "Buy buys buying. BUY buy\nnow, cheap! river"), (1002, plain + " BUY NOW CHEAP."), (1003, None), (1004, "...")])
+    rows = {r[0]: r[1:] for r in docs.unionByName(extra).select(F.struct("*").alias("row"), toxicity.scorer(weights, bias)(F.coalesce("text", F.lit(""))).alias("s"))
+            .select("row.doc_id", "row.text", "s.score", "s.offending").collect()}
+    for key, (text, score, offending) in rows.items():
+        hazard, spans = toxicity.LEAK, []
+        for found in re.finditer(r"[^.!?\n]+", text or ""):
+            ids = set().union(*(toxicity.buckets(w) for w in re.findall(r"[^\W\d_]+", found[0].lower())))
+            more = np.logaddexp(0, bias + sum(weights[k] for k in ids)) - np.logaddexp(0, bias)
+            hazard += max(more, 0)
+            if 1 - np.exp(-more) >= 0.5:
+                spans.append((found.start(), found.end()))
+        assert score == pytest.approx(1 - np.exp(-hazard), abs=1e-9) and [(o["start"], o["end"]) for o in offending] == spans, key
+    # However many neutral sentences, they add nothing; one offending sentence among them is found.
+    assert rows[1000][1] == rows[1003][1] == rows[1004][1] == pytest.approx(0.001, abs=1e-4) and not rows[1000][2]
+    assert rows[1002][1] > 0.3 and [plain[o["start"]:] for o in rows[1002][2]] == [""]
+
+
 PAGE = ("<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>"
         "<div class=ad>Buy</div><article><h1>Title {0}</h1><p>First &amp; long  paragraph {0} of the text,\n with more.<br>Broken <b>tail<p>Second one.</article>"
         "<footer>&copy; us</footer></body></html>")
