@@ -61,7 +61,9 @@ SELECT doc_id, n_lines, n_removed, sha256(kept_text) AS kept_sha256 FROM kept
 
 _WEIGHT = f"[{', '.join(map(str, WEIGHTS))}]"
 MIXING_SQL = f"""
-WITH sized AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+WITH sized AS (
+  SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) - 1 AS number FROM documents),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT source, source_size, source_size * {MOST_REPEATS} AS cap,
@@ -75,7 +77,7 @@ goals AS (
          least(CAST(cap AS DOUBLE), (SELECT level FROM leveled WHERE level * weight <= cap ORDER BY pos LIMIT 1) * weight) AS target FROM leveled),
 rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{SEED}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS coin
+         CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || digest || '|' || number || '|{SEED}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS coin
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM rated

@@ -201,6 +201,24 @@ def test_classifiers_tell_held_out_rows_apart(spark):
         assert apply(docs, marks.limit(0)).count() == 123 and apply(docs.limit(0), marks).count() == 0
 
 
+def test_repeated_keys_and_rows_do_not_share_a_coin(spark):
+    # A third of all rows with one key: half of them equal rows, the rest with texts of their own; another third without a key.
+    texts = [(7, "a b c")] * 500 + [(7, f"t{k} b c") for k in range(500)] + [(None, "a b c")] * 500 + [(None, f"n{k} b c") for k in range(500)] + [(k, f"u{k} b c") for k in range(100, 1100)]
+    docs = spark.createDataFrame([(i, t, f"s{k % 3}") for k, (i, t) in enumerate(texts)], "doc_id long, text string, source string").repartition(7)
+    # With target = 1.875, 0.75 and 0.375 times the size, each source's part of a copy is a coin.
+    rows = mixing.copies(docs).select("row.doc_id", "row.text", "row.source", "size", "target", "copies").collect()
+    assert len(rows) == 3000
+    for source in ("s0", "s1", "s2"):
+        some = [r for r in rows if r["source"] == source]
+        target = some[0]["target"]
+        # 1,000 coins: five standard deviations are 79 documents of 3 words.
+        assert abs(sum(r["size"] * r["copies"] for r in some) - target) < 79 * 3
+        # Equal rows fall apart like the others: both outcomes are seen.
+        assert len({r["copies"] for r in some if r["doc_id"] == 7 and r["text"] == "a b c"}) == 2
+    again = mixing.copies(docs.repartition(3)).select("row.doc_id", "row.text", "row.source", "size", "target", "copies").collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
 def test_toxicity_scores_against_a_plain_sum(spark):
     docs, marks = labelled(spark)
     weights, bias = toxicity.fit(docs, marks)
