@@ -15,7 +15,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import whole_text
+from namefold.llm.common import text_groups, whole_text
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -34,7 +34,9 @@ INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img kbd lab
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HOLDS_HTML = frozenset("foreignobject desc title".split())
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_COMMENT_END = "-->"
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EVENT = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -49,49 +51,148 @@ EPOCHS, BATCH, RATE, SEED = 6, 20, 0.01, 5
 THRESHOLD = 0.5
 
 
+class Path:
+    """An open element and those around it, as a link to its parent; the hashed marks of all of them are shared where nothing is added."""
+
+    __slots__ = ("parent", "marks", "ids")
+
+    def __init__(self, parent: Path | None, marks: tuple[str, ...]) -> None:
+        self.parent, self.marks = parent, marks
+        old = parent.ids if parent else ()
+        new = mark_ids(marks)
+        self.ids = old if new.issubset(old) else tuple(sorted(new.union(old)))
+
+    def whole(self) -> tuple[str, ...]:
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.marks)
+            at = at.parent
+        return tuple(m for marks in reversed(chain) for m in marks)
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    at: Path | None
     text: str
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.at.whole() if self.at else ()
+
+
+@dataclass(slots=True)
+class Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
 
-def after_svg(page: str, at: int) -> int:
+class Tags:
+    """Reads a page's tags forward in one pass; comments and declarations come as tags without a name.
+
+    A tag ends at the first > outside quotes. One that never ends is text. What
+    was found to have no end is remembered, so that broken pages cost no more
+    than whole ones: scans that meet at a quote or > go on alike from there.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.endless, self.event = page, set(), (0, -1)
+
+    def first_event(self, at: int) -> int:
+        """The first quote or > at or after ``at``; asked in rising order."""
+        asked, found = self.event
+        if not asked <= at <= found:
+            hit = _EVENT.search(self.page, at)
+            found = hit.start() if hit else len(self.page)
+            self.event = (at, found)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at ``at``, or -1."""
+        page, passed = self.page, []
+        at = self.first_event(at)
+        while at < len(page) and at not in self.endless:
+            if page[at] == ">":
+                return at
+            passed.append(at)
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                break
+            hit = _EVENT.search(page, close + 1)
+            at = hit.start() if hit else len(page)
+        self.endless.update(passed)
+        return -1
+
+    def next(self, at: int) -> Tag | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find(_COMMENT_END, at + 4)
+                return Tag(at, len(page) if end < 0 else end + 3, False, "", "")
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                return Tag(at, len(page) if end < 0 else end + 1, False, "", "")
+            named = _NAME.match(page, at)
+            if named:
+                end = self.tag_end(named.end())
+                if end >= 0:
+                    return Tag(at, end + 1, named[1] == "/", named[2].lower(), page[named.end() : end])
+            at += 1
+        return None
+
+
+def after_svg(tags: Tags, at: int) -> int:
     """Where the page goes on after the svg whose start tag ends at ``at``; svgs inside it are counted."""
     depth, html_parts = 1, 0
-    for found in _TOKEN.finditer(page, at):
-        name = (found[2] or "").lower()
-        if name == "svg":
-            if found[1]:
+    while (tag := tags.next(at)) is not None:
+        at = tag.end
+        whole = tag.attributes.endswith("/")
+        if tag.name == "svg":
+            if tag.closing:
                 depth -= 1
                 if depth == 0:
-                    return found.end()
-            elif not found[3].endswith("/"):
+                    return tag.end
+            elif not whole:
                 depth += 1
-        elif name in HOLDS_HTML:
-            html_parts = max(0, html_parts - 1) if found[1] else html_parts + (not found[3].endswith("/"))
-        elif name in BREAKS and not found[1] and not html_parts:
-            return found.start()
-    return len(page)
+        elif tag.name in HOLDS_HTML:
+            html_parts = max(0, html_parts - 1) if tag.closing else html_parts + (not whole)
+        elif tag.name in BREAKS and not tag.closing and not html_parts:
+            return tag.start
+    return len(tags.page)
+
+
+def after_raw(page: str, name: str, at: int) -> int:
+    """Where the page goes on after a raw element's text that begins at ``at``."""
+    found = re.compile(rf"</{name}\b", re.I).search(page, at)
+    end = page.find(">", found.end()) if found else -1
+    return len(page) if end < 0 else end + 1
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order. Broken markup is taken as it comes: open tags end with their parent, stray ends are ignored."""
     out: list[Block] = []
-    names: list[str] = []
-    marks: list[tuple[str, ...]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    at = 0
+    tags, at = Tags(page), 0
 
     def close_block() -> None:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append(Block(tuple(m for mark in marks for m in mark), text))
+                out.append(Block(stack[-1][1] if stack else None, text))
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
 
     while at < len(page):
-        found = _TOKEN.search(page, at)
-        if found is None:
+        tag = tags.next(at)
+        if tag is None:
             # A tag cut off by the end of the page is markup, not text.
             tail = page[at:]
             cut = tail.rfind("<")
@@ -99,39 +200,33 @@ def blocks(page: str) -> list[Block]:
                 tail = tail[:cut]
             parts.append(tail)
             break
-        if found.start() > at:
-            parts.append(page[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
+        if tag.start > at:
+            parts.append(page[at : tag.start])
+        at, name = tag.end, tag.name
+        if not name:
             continue
-        name = name.lower()
         if name not in INLINE:
             close_block()
         elif name == "br":
             parts.append(" ")
-        if found[1]:
-            if name in names and name not in VOID:
-                while names:
-                    marks.pop()
-                    if names.pop() == name:
-                        break
+        if tag.closing:
+            if opened[name] and name not in VOID:
+                while leave() != name:
+                    pass
         elif name == "svg":
             # Closed in itself it holds nothing; elsewhere in RAW the slash means nothing.
-            if not found[3].endswith("/"):
-                at = after_svg(page, at)
+            if not tag.attributes.endswith("/"):
+                at = after_svg(tags, at)
         elif name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not found[3].endswith("/"):
+            at = after_raw(page, name, at)
+        elif name not in VOID and not tag.attributes.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-                # These end where the next of their kind begins beside them; the paragraph also at any other block.
-                if names and names[-1] == name:
-                    names.pop()
-                    marks.pop()
-            named = [part for value in _NAMED.findall(found[3]) for part in _NAME_PARTS.findall("".join(value).lower())]
-            names.append(name)
-            marks.append((name, *(f".{part}" for part in named)) if named else (name,))
+                # These end where the next of their kind begins beside them.
+                if stack and stack[-1][0] == name:
+                    leave()
+            named = [part for value in _NAMED.findall(tag.attributes) for part in _NAME_PARTS.findall("".join(value).lower())]
+            stack.append((name, Path(stack[-1][1] if stack else None, (name, *(f".{part}" for part in named)))))
+            opened[name] += 1
     close_block()
     return out
 
@@ -193,9 +288,13 @@ def variant(page: list[tuple[Block, str]], draw: np.random.Generator) -> list[tu
 
 
 @lru_cache(maxsize=20_000)
-def path_marks(path: tuple[str, ...]) -> list[int]:
+def mark_ids(marks: tuple[str, ...]) -> frozenset[int]:
     """The tags html and body say nothing and may be left out of a page, so they are dropped wherever they stand; their classes stay."""
-    return sorted({zlib.crc32(m.encode("utf-8", "replace")) % PATH_DIMS for m in path if m not in ("html", "body")} or {0})
+    return frozenset(zlib.crc32(m.encode("utf-8", "replace")) % PATH_DIMS for m in marks if m not in ("html", "body"))
+
+
+def path_marks(path: tuple[str, ...]) -> list[int]:
+    return sorted(mark_ids(path) or {0})
 
 
 @lru_cache(maxsize=1 << 16)
@@ -214,11 +313,21 @@ def word_counts(text: str) -> Counter[int]:
     return counts
 
 
-def features(path: tuple[str, ...], text: str) -> tuple[list[int], array, list[float], array]:
+def described(marks: Sequence[int], in_link: bool, text: str) -> tuple[Sequence[int], array, list[float], array]:
     """Hashed marks of the path, hashed words, a few plain measures, and each hashed word's share of all words."""
     counts = word_counts(text)
     n = counts.total()
-    return path_marks(path), array("H", counts), [min(n, 200) / 100, float(text[-1:] in ".!?\"”"), float(path[-1:] == ("a",))], array("d", [k / n for k in counts.values()])
+    return marks, array("H", counts), [min(n, 200) / 100, float(text[-1:] in ".!?\"”"), float(in_link)], array("d", [k / n for k in counts.values()])
+
+
+def features(path: tuple[str, ...], text: str) -> tuple[Sequence[int], array, list[float], array]:
+    return described(path_marks(path), path[-1:] == ("a",), text)
+
+
+def block_features(block: Block) -> tuple[Sequence[int], array, list[float], array]:
+    """What `features` says, without the whole path written out for every block of a deep page."""
+    at = block.at
+    return described(at.ids or (0,) if at else (0,), at is not None and at.marks[-1] == "a", block.text)
 
 
 class Labeller:
@@ -366,6 +475,25 @@ def fit(pages: DataFrame) -> Labeller:
     return train(sorted(r["html"] for r in some.select("html").collect()))
 
 
+def taken(labeller: Labeller, pages: list[str]) -> list[str]:
+    """The main text of each page; pages of like length run together, so that what is padded stays small."""
+    found = [blocks(page) for page in pages]
+    out = [""] * len(found)
+    order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
+    at = 0
+    while at < len(order):
+        some, size = [order[at]], sum(len(b.text) for b in found[order[at]])
+        while at + len(some) < len(order) and (len(some) + 1) * len(found[order[at + len(some)]]) <= 8192:
+            size += sum(len(b.text) for b in found[order[at + len(some)]])
+            if size > 1 << 20:
+                break
+            some.append(order[at + len(some)])
+        at += len(some)
+        for k, p in zip(some, labeller.probabilities([list(map(block_features, found[k])) for k in some])):
+            out[k] = "\n".join(b.text for b, take in zip(found[k], p >= THRESHOLD) if take)
+    return out
+
+
 def extractor(model: Labeller):
     """A column function: html to the text of the blocks taken as content, joined by line feeds."""
     params = {k: v.astype(np.float32).astype(np.float64) for k, v in model.params.items()}
@@ -375,22 +503,7 @@ def extractor(model: Labeller):
         labeller = Labeller()
         labeller.params = params
         for texts in batches:
-            found = [blocks(t) for t in texts.to_pylist()]
-            out = [""] * len(found)
-            # Pages of like length run together; what is padded stays small.
-            order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
-            at = 0
-            while at < len(order):
-                some, size = [order[at]], sum(len(b.text) for b in found[order[at]])
-                while at + len(some) < len(order) and (len(some) + 1) * len(found[order[at + len(some)]]) <= 8192:
-                    size += sum(len(b.text) for b in found[order[at + len(some)]])
-                    if size > 1 << 20:
-                        break
-                    some.append(order[at + len(some)])
-                at += len(some)
-                for k, p in zip(some, labeller.probabilities([[features(b.path, b.text) for b in found[k]] for k in some])):
-                    out[k] = "\n".join(b.text for b, take in zip(found[k], p >= THRESHOLD) if take)
-            yield pa.array(out, pa.string())
+            yield pa.array([main for group in text_groups(texts) for main in taken(labeller, group)], pa.string())
 
     return extract
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,6 +255,17 @@ def test_blocks_and_main_text(spark):
     assert rows[90] == rows[91] == rows[None] == "" and html_blocks.main_text(pages.limit(0)).count() == 0
 
 
+def test_broken_pages_are_read_in_one_pass():
+    pages = ["<a " * 350_000, '<a b="' * 170_000, '<a b="' * 170_000 + "x>", "<a b='" * 170_000 + '" >', "<div>x" * 170_000, "<div>" * 100_000 + "</b>" * 100_000, "<script></script " * 60_000, "<svg><g>" * 120_000, "<" * 1_000_000]
+    begun = time.process_time()
+    assert [len(html_blocks.blocks(page)) for page in pages] == [1, 1, 0, 1, 170_000, 0, 0, 0, 1]
+    assert time.process_time() - begun < 2.5 * len(pages)
+    # Quotes hold >, a tag without an end is text, the next whole tag is read again.
+    assert [(b.path, b.text) for b in html_blocks.blocks("<p title='a > b'>x<div class=\"c d\">y</div><i z=\"q</p>w")] == [(("p",), "x"), (("p", "div", ".c", ".d"), "y"), (("p",), '<i z="q'), ((), "w")]
+    block = html_blocks.blocks("<html><body class=home><div><a href=x>one")[0]
+    assert html_blocks.block_features(block) == (tuple(html_blocks.path_marks(block.path)), *html_blocks.features(block.path, block.text)[1:])
+
+
 def test_labeller_gradients():
     page = [html_blocks.features(b.path, b.text) for b in html_blocks.blocks(PAGE.format(1))]
     labels = [0, 0, 1, 1, 1, 0]
