@@ -46,8 +46,10 @@ PATH_DIMS, WORD_DIMS, PATH_SIZE, WORD_SIZE, HIDDEN = 2048, 4096, 16, 8, 16
 #: A text's words are found, and the vectors of all words added up, in pieces of about so many characters or words.
 PIECE = 1 << 16
 #: Bounds of the training sample: at most so many pages, in so many variants each.
-SAMPLE_PAGES, VARIANTS, STRANGE = 150, 4, 0.2
-EPOCHS, BATCH, RATE, SEED = 6, 20, 0.01, 5
+SAMPLE_PAGES, VARIANTS = 150, 10
+#: Shares of variants' names that are replaced by unknown ones, and of other parts marked the plain way.
+STRANGE, PLAIN_WRAP = 0.2, 0.5
+EPOCHS, BATCH, RATE, SEED = 10, 20, 0.01, 5
 THRESHOLD = 0.5
 
 
@@ -243,6 +245,10 @@ OTHER_WRAPS = {
     "form": (("form",), ("form", ".search"), ("div", ".subscribe"), ("form", ".login"), ("div", ".signup"), ("fieldset",)),
     "comment": (("section", ".comments"), ("div", ".comment"), ("div", ".comment", ".list"), ("div", ".replies"), ("ol", ".commentlist"), ("div", ".discussion"), ("div", ".disqus", ".thread")),
 }
+#: What content and menus are made of.
+CONTENT_TAGS = (("p",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("table", "tr", "th"), ("pre",), ("dl", "dd"), ("dl", "dt"), ("h2",), ("h3",), ("h4",), ("div",), ("figure", "figcaption"), ("section", "p"), ("div", "p"))
+MENU_TAGS = (("ul", "li", "a"), ("ul", "li"), ("ol", "li", "a"), ("a",), ("div", "a"), ("p", "a"), ("span",), ("div",), ("p",))
+OTHER_TAGS = (("p",), ("div",), ("ul", "li"), ("h3",), ("h1",), ("span",), ("small",), ("div", "p"), ("a",), ("ul", "li", "p"), ())
 _PLAIN = {"nav": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", ".ad": "advert", ".ads": "advert", ".comments": "comment", ".comment": "comment", ".cookie": "notice", ".notice": "notice", ".sidebar": "side"}
 
 
@@ -258,8 +264,14 @@ def plain_label(path: tuple[str, ...]) -> str | None:
 
 
 def variant(page: list[tuple[Block, str]], draw: np.random.Generator) -> list[tuple[tuple[str, ...], str, int]]:
-    """The same page as another template might mark it: (path, text, label). Other parts also get short pieces of text from content, and parts the page lacks are added."""
-    wraps = {kind: some[draw.integers(len(some))] for kind, some in OTHER_WRAPS.items()}
+    """The same page as another template might mark it: (path, text, label).
+
+    Blocks of all parts get other tags of their own, content also lists, quotes,
+    tables and code, some of it short; other parts also get pieces of text from
+    content, and parts the page lacks are added. So neither a block's own tag
+    nor its length tells what it is.
+    """
+    wraps = {kind: some[0 if draw.random() < PLAIN_WRAP else draw.integers(len(some))] for kind, some in OTHER_WRAPS.items()}
     content = CONTENT_WRAPS[draw.integers(len(CONTENT_WRAPS))]
     outer = (("div", ".wrapper"), (), ("div", ".page"), ("div", ".container"), ())[draw.integers(5)]
 
@@ -270,17 +282,37 @@ def variant(page: list[tuple[Block, str]], draw: np.random.Generator) -> list[tu
                 return tuple(marks[k + 1 :])
         return ()
 
-    out = [(("html", "body", *outer, *(content if kind == "content" else wraps[kind]), *inner(block.path, kind)), block.text, int(kind == "content")) for block, kind in page]
+    retag, shorten = draw.random() * (draw.random() < 0.8), draw.random() * (draw.random() < 0.5)
+    own_menu = MENU_TAGS[draw.integers(len(MENU_TAGS))]
+    out = []
+    for block, kind in page:
+        within, text = inner(block.path, kind), block.text
+        if draw.random() < retag:
+            some = CONTENT_TAGS if kind == "content" else OTHER_TAGS
+            within = own_menu if kind == "menu" else some[draw.integers(len(some))]
+        if kind == "content" and draw.random() < shorten:
+            words = text.split()
+            first = int(draw.integers(len(words)))
+            text = " ".join(words[first : first + int(draw.integers(1, 12))])
+        out.append((("html", "body", *outer, *(content if kind == "content" else wraps[kind]), *within), text, int(kind == "content")))
+    # Of content some pages have little, some none of the usual order.
+    if draw.random() < 0.3:
+        keep = draw.random()
+        out = [row for row in out if not row[2] or draw.random() < keep]
     texts = [block.text for block, _ in page]
-    middle = [k for k, row in enumerate(out) if row[2]]
     for kind, tags in (("header", ("h1", "p", "a")), ("side", ("li", "p", "h3")), ("notice", ("p", "span", "button")), ("form", ("label", "button", "p")), ("comment", ("p", "li", "div")), ("advert", ("p", "a", "span"))):
         if draw.random() < 0.5:
+            choice = [(tag,) for tag in tags] + list(OTHER_TAGS)
             words = texts[draw.integers(len(texts))].split()
             rows = [
-                (("html", "body", *outer, *(content if draw.random() < 0.3 else ()), *wraps[kind], tags[draw.integers(len(tags))]), " ".join(words[at : at + int(draw.integers(1, 40))]) or "x", 0)
+                (("html", "body", *outer, *(content if draw.random() < 0.3 else ()), *wraps[kind], *choice[draw.integers(len(choice))]), " ".join(words[at : at + int(draw.integers(1, 40))]) or "x", 0)
                 for at in draw.integers(0, max(1, len(words)), int(draw.integers(1, 5)))
             ]
-            at = {"header": 0, "notice": int(draw.integers(0, 2)) * len(out), "comment": len(out)}.get(kind, middle[0] if middle and draw.random() < 0.5 else len(out))
+            # Before or after the content as it now stands, or at the page's end; adverts also amid it.
+            middle = [k for k, row in enumerate(out) if row[2]] or [0]
+            places = {"header": [0], "notice": [0, len(out)], "comment": [middle[-1] + 1, len(out)], "advert": [middle[0], middle[-1] + 1, *middle]}
+            places = places.get(kind, [middle[0], middle[-1] + 1, len(out)])
+            at = places[draw.integers(len(places))]
             out[at:at] = rows
     # Names never seen elsewhere: what they stand for has to follow from the text and its neighbours.
     strange = {m: f".{draw.integers(1 << 30):x}" for m in {m for path, _, _ in out for m in path if m[0] == "."} if draw.random() < STRANGE}
