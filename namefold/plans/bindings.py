@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from namefold.functions import assets
 from namefold.operators import scan, state
 from namefold.scratch import materialize
+from namefold.sources.landed import BLOCK_SCHEMA
 
 SLOT_CHUNK = 400  # slots are days here, about 2,400 of them
 TRACKED_POLICY = "p0"
+TRANSACTIONS = BLOCK_SCHEMA.split("transactions ")[1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,7 +130,46 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows as fold events of all kinds, after the net effect of their block."""
     raw = materialize(moves(spark, sf_dir), "moves")
     inputs = raw.select(F.col("prev_utxo").alias("utxo"), "slot").filter(F.col("utxo").isNotNull()).distinct()
-    joined = raw.drop("prev_utxo", "prev_slot").join(names(spark, sf_dir), "asset_id")
+    events = _events(raw.drop("prev_utxo", "prev_slot").join(names(spark, sf_dir), "asset_id"))
+    spent_here = inputs.withColumn("__spent", F.lit(True))
+    burn_row = F.col("kind").isin("burn", "label_burn")
+    net = events.join(spent_here, ["utxo", "slot"], "left").filter(burn_row | F.col("__spent").isNull()).drop("__spent")
+    return materialize(net, "asset_events")
+
+
+def block_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger rows nested as blocks, before any netting: one block per slot and asset, one transaction per row.
+
+    The rows of one asset in one of some 2,400 slots are one message. Outputs
+    before a row's own are empty, so that it keeps its index. An output may hold
+    several assets: what the slot spends of the message's outputs is repeated in
+    a last transaction of inputs alone.
+    """
+    raw = materialize(moves(spark, sf_dir), "moves")
+    spent = raw.filter("prev_utxo IS NOT NULL").select(F.col("prev_utxo").alias("utxo"), "slot").distinct().withColumn("spent", F.lit(True))
+    rows = _events(raw.join(names(spark, sf_dir), "asset_id"), "asset_id", "prev_utxo").join(spent, ["utxo", "slot"], "left")
+    burn = F.col("kind").isin(*state.BURNS)
+    one = lambda quantity: F.create_map("policy", F.create_map("hex", F.lit(quantity).cast("decimal(38,0)")))
+    output = F.struct("address", "lovelace", one(1).alias("assets"), "datum", F.struct(F.col("script.type").alias("language"), F.col("script.cbor").alias("cbor")).alias("script"))
+    blank = F.lit(None).cast("struct<address: string, lovelace: decimal(38,0), assets: map<string, map<string, decimal(38,0)>>, datum: string, script: struct<language: string, cbor: string>>")
+    ref = lambda utxo: F.struct(assets.utxo_tx(F.col(utxo)).alias("tx"), assets.utxo_index(F.col(utxo)).alias("index"))
+    tx = F.struct(
+        F.col("tx_pos").alias("pos"), "idx", F.col("tx_pos").cast("string").alias("id"),
+        F.when(F.col("prev_utxo").isNotNull(), F.array(ref("prev_utxo"))).alias("inputs"),
+        F.when(~burn, F.concat(F.array_repeat(blank, F.col("idx")), F.array(output))).alias("outputs"),
+        F.when(burn, one(-1)).when(F.col("is_mint"), one(1)).alias("mint"), F.lit("{}").alias("metadata"),
+    )
+    place = lambda t: t["pos"] * 1000 + t["idx"]
+    in_order = F.array_sort(F.collect_list(tx), lambda left, right: F.signum(place(left) - place(right)).cast("int"))
+    grouped = rows.groupBy("slot", "asset_id").agg(in_order.alias("txs"), F.collect_set(F.when(F.col("spent"), ref("utxo"))).alias("spends"))
+    nested = F.transform("txs", lambda t: F.struct(*(t[c].alias(c) for c in ("id", "inputs", "outputs", "mint", "metadata"))))
+    last = F.array(F.struct(F.lit("spends").alias("id"), F.col("spends").alias("inputs"), F.lit(None).alias("outputs"), F.lit(None).alias("mint"), F.lit(None).alias("metadata")))
+    return grouped.select(
+        F.concat_ws("/", "slot", "asset_id").alias("id"), F.col("slot").alias("height"), "slot", F.lit("praos").alias("type"),
+        F.concat(nested.cast(TRANSACTIONS), last.cast(TRANSACTIONS)).alias("transactions"))
+
+
+def _events(joined: DataFrame, *more: str) -> DataFrame:
     pick = (F.col("tx_id") + F.col("idx")) % 7
     body = assets.hex_of_name(F.col("name"))
     burned = F.col("is_burn") == 1
@@ -142,13 +183,7 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(burned, F.when(pick == 5, "label_burn").otherwise("burn"))
     with_kind = joined.withColumn("label", label)
     with_kind = with_kind.withColumn("hex", F.concat(F.coalesce("label", F.lit("")), body))
-    event_kind = (
-        F.when(F.col("label").isNull() | (F.col("label") == assets.LABEL_OWNER), "owner")
-        .when(F.col("label") == assets.LABEL_VIRTUAL, "virtual")
-        .when(F.col("label") == assets.LABEL_SETTINGS, "settings")
-        .otherwise("reference")
-    )
-    with_kind = with_kind.withColumn("kind", F.coalesce(kind, event_kind))
+    with_kind = with_kind.withColumn("kind", F.coalesce(kind, state.event_kind(F.col("label"))))
     holder = F.col("holder").cast("string")
     datum = (
         F.when((F.col("kind") == "reference") & (F.col("tx_id") % 3 != 0), _pz_datum())
@@ -159,19 +194,15 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rank = F.when(F.col("kind") == "burn", 0).when(F.col("kind") == "label_burn", 1).when(
         F.col("label") == assets.LABEL_OWNER, 2).otherwise(3)
-    events = with_kind.select(
+    return with_kind.select(
         "name", F.lit(TRACKED_POLICY).alias("policy"), "label", "hex", assets.owner_hex_of(F.col("hex")).alias("owner_hex"),
         "kind", "slot", rank.alias("rank"), F.col("tx_id").alias("tx_pos"), "idx", "utxo",
         F.concat(F.lit("addr"), holder).alias("address"), holder.alias("holder"),
         F.col("value").cast("decimal(38,0)").alias("lovelace"),
         F.struct(F.lit("plutusV2").alias("type"), F.lit("00").alias("cbor")).alias("script"),
         datum.alias("datum"), ((F.col("kind") == "owner") & (F.col("tx_id") % 5 == 0)).alias("is_mint"),
-        F.when(F.col("kind") == "virtual", F.concat(F.lit("d"), F.col("tx_id") % 97)).alias("datum_holder"),
+        F.when(F.col("kind") == "virtual", F.concat(F.lit("d"), F.col("tx_id") % 97)).alias("datum_holder"), *more,
     )
-    spent_here = inputs.withColumn("__spent", F.lit(True))
-    burn_row = F.col("kind").isin("burn", "label_burn")
-    net = events.join(spent_here, ["utxo", "slot"], "left").filter(burn_row | F.col("__spent").isNull()).drop("__spent")
-    return materialize(net, "asset_events")
 
 
 def _pz_datum() -> Column:

@@ -10,7 +10,8 @@ from namefold.operators import normalize, state
 from namefold.plans import bindings as b
 from namefold.plans.bindings import table, with_views
 from namefold.plans.registry import query
-from namefold.scratch import materialize
+from namefold.scratch import materialize, scratch_path
+from namefold.sources import landed
 
 LEDGER_ORDER = ["slot", "tx_id", "idx"]
 
@@ -195,6 +196,21 @@ def state_fold(spark, sf_dir):
     return fold_fields(folded)
 
 
+@query("blocks_to_state", with_views(FOLD_ORACLE, "asset_events", recursive=True))
+def blocks_to_state(spark, sf_dir):
+    """The fold from nested blocks, written and read as JSON: netting, burns, mints and fold rows in one pass over them."""
+    path = scratch_path(spark, "blocks")
+    b.block_messages(spark, sf_dir).write.json(path)
+    blocks = normalize.only_block_type(landed.read_blocks(spark, path))
+    raw = materialize(normalize.fold_events(
+        blocks, [b.TRACKED_POLICY], holder=lambda address: F.substring(address, F.lit(5), F.length(address)),
+        datum_holder=lambda datum: F.concat(F.lit("d"), F.regexp_extract(F.get_json_object(datum, "$[2].resolved_addresses.ada"), "([0-9]+)$", 1).cast("bigint") % 97),
+    ), "block_events")
+    events = materialize(state.prepare(raw), "events")
+    og_list = b.names(spark, sf_dir).filter("og_number > 0")
+    return fold_fields(state.fold(events, b.mint_records(raw), og_list=og_list, width=b.SLOT_CHUNK))
+
+
 @query("double_mint_findings", with_views(FOLD_ORACLE[: FOLD_ORACLE.rindex("SELECT name, amount, hex")] + """
 SELECT e.name, e.slot, e.utxo, f.amount FROM folded f JOIN ordered e ON e.name = f.name AND e.n = f.n
 JOIN folded p ON p.name = f.name AND p.n = f.n - 1
@@ -278,15 +294,17 @@ def metadata_trim(spark, sf_dir):
 
 
 @query("canonical_key_dedup", """
-SELECT props AS canonical, count(*) AS events FROM (
-  SELECT concat('{"k":"', json_extract_string(props, '$.k'), '","type":"', event_type, '"}') AS props FROM events) GROUP BY props""")
+SELECT concat('{"big":"', 9007199254740993 + event_id % 7, '","list":[3,1],"props":{"k":"', json_extract_string(props, '$.k'), '","type":"', event_type, '"}}') AS canonical,
+  count(*) AS events FROM events GROUP BY 1""")
 def canonical_key_dedup(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    shuffled = F.when(
-        F.col("event_id") % 2 == 0, F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), k)
-    ).otherwise(F.create_map(F.lit("k"), k, F.lit("type"), F.col("event_type")))
-    rows = table(spark, sf_dir, "events").select(normalize.canonical_json(shuffled).alias("canonical"))
-    return rows.groupBy("canonical").agg(F.count("*").alias("events"))
+    """Nested values whose keys come in two orders, on both levels."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    big, ordered = (F.lit(9007199254740993) + F.col("event_id") % 7).cast("bigint").alias("big"), F.array(F.lit(3), F.lit(1)).alias("list")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.struct(F.create_map(F.lit("type"), kind, F.lit("k"), k).alias("props"), ordered, big).alias("one"),
+        F.struct(big, ordered, F.create_map(F.lit("k"), k, F.lit("type"), kind).alias("props")).alias("two"))
+    one, two = (normalize.canonical_json(F.col(c), rows.schema[c].dataType) for c in ("one", "two"))
+    return rows.select(F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("events"))
 
 
 @query("restrict_to_names", with_views("""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from namefold.functions import assets, attributes, registry
-from namefold.operators import normalize
+from namefold.operators import normalize, state
+from namefold.sources import landed
 
 POLICY = "ab" * 28
+ONE = Decimal(1)
 
 
 def values(spark, rows, *columns):
@@ -101,3 +106,34 @@ def test_personalized_ignores_the_own_address(spark):
         attributes.is_personalized(F.lit("h"), F.lit("h"), [], [], F.create_map(F.lit("btc"), F.lit("x"))).alias("chain"),
         attributes.is_personalized(F.lit("h"), F.lit(None), [], [], F.create_map(F.lit("btc"), F.lit(""))).alias("image"))
     assert tuple(df.first()) == (False, True, True, True)
+
+
+def test_canonical_json_of_nested_values(spark):
+    kind = "b struct<y: int, x: map<string, array<struct<q: string, p: bigint>>>>, a decimal(38,0), t boolean"
+    rows = [((None, {"k\"2": [("z", 1), None], "k1": []}), Decimal(5), True), ((2, None), None, None), (None, None, None), ((1, {"m": [(None, -(1 << 53)), ("é", 7)]}), Decimal(10**30), False)]
+    df = spark.createDataFrame([(r,) for r in rows], f"v struct<{kind.replace('b struct', 'b: struct').replace('a decimal', 'a: decimal').replace('t boolean', 't: boolean')}>")
+    got = [r[0] for r in df.select(normalize.canonical_json(F.col("v"), df.schema["v"].dataType)).collect()]
+    assert got == [
+        '{"a":"5","b":{"x":{"k\\"2":[{"p":1,"q":"z"},null],"k1":[]}},"t":true}', '{"b":{"y":2}}', "{}",
+        '{"a":"1000000000000000000000000000000","b":{"x":{"m":[{"p":"-9007199254740992"},{"p":7,"q":"é"}]},"y":1},"t":false}']
+
+
+def test_fold_events_in_one_pass(spark):
+    text = lambda t: t.encode().hex()
+    owner, settings, legacy = "000de140" + text("bob"), "00001070" + text("bob"), text("amy")
+    out = lambda held, datum=None: ("addr1", Decimal(5), held, datum, ("v2", "00"))
+    txs = [
+        ("t1", None, [out({POLICY: {owner: ONE, settings: ONE}, "other": {owner: ONE}}), out({POLICY: {legacy: ONE}})], {POLICY: {owner: ONE, settings: ONE, legacy: ONE}, "other": {owner: -ONE}}, None),
+        ("t2", [("t1", 1), ("t0", 3)], [None, out(None), out({POLICY: {legacy: ONE, "": ONE}}, "{}")], {POLICY: {settings: -ONE, "000643b0" + text("bob"): -ONE, "00000000" + text("eve"): -ONE}}, "{}"),
+        ("t3", [], None, None, None),
+    ]
+    blocks = spark.createDataFrame([("b", 1, 10, "praos", txs), ("c", 2, 11, "praos", []), ("d", 3, 12, "praos", None)], landed.BLOCK_SCHEMA)
+    found = normalize.fold_events(blocks, [POLICY], holder=lambda a: F.concat(F.lit("h"), a), datum_holder=lambda d: d)
+    assert found.columns == [f.split()[0] for f in re.sub("<[^>]*>", "", state.EVENT_SCHEMA.replace("(38,0)", "")).split(", ")]
+    got = {(r["name"], r["kind"], r["rank"], r["tx_pos"], r["utxo"], r["is_mint"], r["holder"], r["datum"]) for r in found.collect()}
+    assert got == {
+        # The legacy token of t1 is spent in its block and so left out; the reference token's burn changes no record.
+        ("bob", "owner", 2, 0, "t1#0", True, "haddr1", None), ("bob", "settings", 2, 0, "t1#0", False, "haddr1", None),
+        ("amy", "owner", 3, 1, "t2#2", False, "haddr1", "{}"),
+        ("bob", "label_burn", 1, 1, None, False, None, None), ("eve", "burn", 0, 1, None, False, None, None)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

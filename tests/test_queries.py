@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = ("attr_characters", "asset_name_parse", "metadata_trim", "net_asset_delta", "current_owner", "net_block_effect", "facet_audit",
           "search_conjunctive", "search_slot_page", "owners_with_defaults", "holder_ranking", "reverse_lookup_key", "listings_price",
-          "attribute_diff", "ownership_audit", "coverage_cursor", "repair_precheck", "set_fingerprint", "snapshot_cutoff")
+          "attribute_diff", "ownership_audit", "coverage_cursor", "repair_precheck", "set_fingerprint", "snapshot_cutoff", "blocks_to_state", "canonical_key_dedup")
 
 
 @pytest.fixture(scope="module")
