@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namefold.operators.reconcile import violations
+from namefold.operators import scan
+from namefold.operators.reconcile import broken_rows, violations
 
 
 def _hash(column: str) -> Column:
@@ -31,14 +34,14 @@ def snapshot_violations(envelope: DataFrame, outputs: DataFrame, mints: DataFram
         & F.coalesce(F.col("address") != "", F.lit(False)) & F.coalesce(F.col("utxo") != "", F.lit(False))
     )
     late = lambda column: ~(_natural(column) & (F.col(column) <= slot))
-    return violations({
-        "envelope": envelope.filter(~(_natural("slot") & _hash("hash") & (F.col("schema_version") == schema_version))),
-        "verification": envelope.filter(~verified),
-        "output_shape": outputs.filter(broken_output),
-        "output_slot": outputs.filter(late("slot")),
-        "output_repeated": outputs.groupBy("utxo").agg(F.count("*").alias("n")).filter("n > 1"),
-        "mint_slot": mints.filter(late("created_slot")),
-        "mint_hash": mints.filter(~_hash("tx_hash")),
-        "block_slot": blocks.filter(late("slot")),
-        "block_hash": blocks.filter(~_hash("hash")),
-    })
+    # The ids are counted in tasks of a bounded number of rows, everything else in one pass per table.
+    ids = outputs.select("utxo").repartition(scan.parts_for(outputs.count(), outputs.sparkSession), "utxo")
+    parts = [
+        broken_rows(envelope, {
+            "envelope": ~(_natural("slot") & _hash("hash") & (F.col("schema_version") == schema_version)), "verification": ~verified}),
+        broken_rows(outputs, {"output_shape": broken_output, "output_slot": late("slot")}),
+        violations({"output_repeated": ids.groupBy("utxo").agg(F.count("*").alias("n")).filter("n > 1")}),
+        broken_rows(mints, {"mint_slot": late("created_slot"), "mint_hash": ~_hash("tx_hash")}),
+        broken_rows(blocks, {"block_slot": late("slot"), "block_hash": ~_hash("hash")}),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -171,6 +171,13 @@ def output_disagreements(outputs: DataFrame, tx_outputs: DataFrame) -> DataFrame
     return joined.select("utxo", finding.alias("finding")).filter(F.col("finding").isNotNull())
 
 
+def broken_rows(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row per rule with the number of rows its condition holds for, counted in one pass."""
+    counts = rows.agg(*[F.count_if(condition).alias(rule) for rule, condition in rules.items()])
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations")) for rule in rules])
+    return counts.select(F.inline(pairs))
+
+
 def violations(rules: dict[str, DataFrame]) -> DataFrame:
     """One row per rule with the number of rows that break it; zero counts stay."""
     parts = [rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, rows in rules.items()]
