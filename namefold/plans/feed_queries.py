@@ -132,25 +132,41 @@ def report_json(spark, sf_dir):
     return spark.read.schema("name STRING, asset_id BIGINT").json(path)
 
 
-def _land(rows: DataFrame, feed: str, files: int) -> None:
-    """Land the rows in so many files, oldest first."""
+ROWS_PER_FILE = 500_000
+
+
+def _shares(rows: DataFrame, slices: int) -> int:
+    """Files that each of so many equal ranges of ``seq`` is written as: one for a small feed, so many that no task writes much more
+    than `ROWS_PER_FILE` for a large one. Every range must fill all of them, as a batch is a number of files."""
+    first, last = rows.agg(F.min("seq"), F.max("seq")).first()
+    at = F.floor((F.col("seq") - first) * slices / (last - first + 1))
+    counts = [r["count"] for r in rows.groupBy(at.alias("at")).count().collect()]
+    shares = -(-max(counts) // ROWS_PER_FILE)
+    # Rows are dealt in turn by each task that reads them.
+    return shares if len(counts) == slices and min(counts) >= 2 * shares * rows.rdd.getNumPartitions() else 1
+
+
+def _land(rows: DataFrame, feed: str, files: int, shares: int = 1) -> None:
+    """Land the rows in so many steps, oldest first, each as so many files."""
     first, last = rows.agg(F.min("seq"), F.max("seq")).first()
     width = (last - first) // files + 1
     for k in range(files):
-        rows.filter(F.col("seq").between(first + k * width, first + (k + 1) * width - 1)).coalesce(1).write.mode("append").json(feed)
+        part = rows.filter(F.col("seq").between(first + k * width, first + (k + 1) * width - 1))
+        (part.repartition(shares) if shares > 1 else part.coalesce(1)).write.mode("append").json(feed)
 
 
 def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger]) -> tuple[ingest.BlockLedger, int]:
-    """Land the feed slice by slice, each in two files, and resume the same job after each; a batch takes one file."""
+    """Land the feed slice by slice, each in two steps, and resume the same job after each; a batch takes the files of one step."""
     feed = scratch_path(spark, "feed")
     job = kind(spark, scratch_path(spark, "work"))
     if isinstance(job, ingest.CurrentState):
         job.policies = (b.TRACKED_POLICY,)
         job.strict = False  # many users of the feed never signed up
     top = rows.agg(F.max("seq")).first()[0] + 1
+    shares = _shares(rows, 2 * slices)
     for part in range(slices):
-        _land(rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)), feed, 2)
-        ingest.run(job, feed, files_per_batch=1)
+        _land(rows.filter(F.col("seq").between(top * part // slices, top * (part + 1) // slices - 1)), feed, 2, shares)
+        ingest.run(job, feed, files_per_batch=shares)
     return job, ingest.last_batch(job)
 
 
@@ -202,12 +218,14 @@ def _whole_feed(spark, sf_dir) -> DataFrame:
 
 @query("stream_whole_state", with_views(FOLD_ORACLE, "asset_events", recursive=True))
 def stream_whole_state(spark, sf_dir):
-    """All kinds of events through the job, two of six files in a batch, against the same SQL as the batch fold."""
+    """All kinds of events through the job, two of six steps in a batch, against the same SQL as the batch fold."""
     feed = scratch_path(spark, "feed")
-    _land(materialize(_whole_feed(spark, sf_dir), "rows"), feed, 6)
+    rows = materialize(_whole_feed(spark, sf_dir), "rows")
+    shares = _shares(rows, 6)
+    _land(rows, feed, 6, shares)
     og_list = materialize(b.names(spark, sf_dir).filter("og_number > 0").select("name", "og_number"), "og")
     job = ingest.CurrentState(spark, scratch_path(spark, "work"), policies=(b.TRACKED_POLICY,), compact_every=2, og_list=og_list)
-    ingest.run(job, feed, files_per_batch=2)
+    ingest.run(job, feed, files_per_batch=2 * shares)
     return fold_fields(job.records(ingest.last_batch(job)))
 
 
