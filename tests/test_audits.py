@@ -193,3 +193,11 @@ def test_rows_without_a_key_keep_their_place_in_lookups(spark):
     side = frame(spark, "k string, v int", ("a", 10), (None, 20))
     out = {r["n"]: (r["k"], r["v"]) for r in left_lookup(rows, side, "k").collect()}
     assert out == {1: ("a", 10), 2: (None, None), 3: (None, None), 4: ("z", None)}
+
+
+def test_constraints_pass_over_a_table_once(spark):
+    from namefold.operators import reconcile
+
+    rows = spark.createDataFrame([(1,), (None,), (7,)], "n int")
+    found = reconcile.broken_rows(rows, {"big": F.col("n") > 5, "none": F.col("n").isNull(), "never": F.lit(False)})
+    assert {tuple(r) for r in found.collect()} == {("big", 1), ("none", 1), ("never", 0)}

@@ -251,3 +251,25 @@ def test_long_names_keep_all_their_letters(spark):
     long = "61" * (1 << 20)
     row = spark.createDataFrame([(assets.LABEL_REFERENCE + long,)], "h string").select(F.length(assets.owner_hex_of(F.col("h"))).alias("o")).first()
     assert row["o"] == 8 + len(long)
+
+
+@pytest.mark.parametrize("rows_of_hot_names", [20, 1_000_000])
+def test_hot_names_by_slot_ranges_equal_one_pass(spark, monkeypatch, rows_of_hot_names):
+    monkeypatch.setattr(state, "HOT_ROWS", rows_of_hot_names)
+    rows = random_events(8)
+    assert seen(by_name(fold(spark, rows, width=7))) == expected(machine(rows))
+    events = state.prepare(spark.createDataFrame(rows, state.EVENT_SCHEMA))
+    few, hot = state._by_size(events)
+    assert (hot is None) == (rows_of_hot_names > 160)
+    if hot is not None:
+        assert {r["name"] for r in hot.select("name").distinct().collect()} >= {"hot"}
+    assert {tuple(r) for r in state.double_mints(events, width=7).collect()} == {
+        tuple(r) for r in state.copy_counter(events, width=7).filter(state._is_double() & (F.col("copies") > 1)).select("name", "slot", "utxo", "copies").collect()}
+
+
+def test_the_fold_sorts_wide_rows_by_name_once(spark):
+    events = state.prepare(spark.createDataFrame(random_events(2), state.EVENT_SCHEMA))
+    plan = state._partial_in_order(events, None, True)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(name" in line]
+    # The other one holds what `prepare` keeps of burns.
+    assert len(wide) <= 2

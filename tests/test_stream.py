@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import state
@@ -161,3 +162,17 @@ def test_the_stream_folds_whole_events(spark, tmp_path):
     assert v["settings"]["utxo_id"] == "t3#0" and v["registry_labels"] == assets.LABEL_SETTINGS and v["reference_utxo"] == "t4#0"
     assert (n["lovelace"], n["script"]["type"], n["datum"]) == (9, "plutusV3", "{}")
     assert {(r["name"], r["metadata"]) for r in mints.collect()} == {("v@a", '{"m":1}'), ("n", '{"n":2}')}
+
+
+def test_a_large_feed_lands_each_step_as_several_files(spark, tmp_path, monkeypatch):
+    from namefold.plans import feed_queries
+
+    monkeypatch.setattr(feed_queries, "ROWS_PER_FILE", 150, raising=False)
+    rows = spark.range(1000).select(F.col("id").alias("seq")).coalesce(1)
+    shares = feed_queries._shares(rows, 2)
+    assert shares == 4
+    feed_queries._land(rows, str(tmp_path / "feed"), 2, shares)
+    assert len(list((tmp_path / "feed").glob("*.json"))) == 8
+    assert spark.read.schema("seq bigint").json(str(tmp_path / "feed")).distinct().count() == 1000
+    sparse = rows.filter("seq < 500 or seq > 997")
+    assert feed_queries._shares(sparse, 2) == 1  # a step of two rows cannot fill them
