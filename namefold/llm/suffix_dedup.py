@@ -28,6 +28,8 @@ PLACES = LENGTH - TOKEN + 1
 #: A token in more texts than this is compared window by window across tasks instead of inside one bucket.
 HOT = 100_000
 GROUP_BYTES, BUCKET_ROWS = 1 << 22, 1 << 15
+#: Windows looked at at a time: what a task holds for each byte is held for so many bytes, however long a text is.
+PIECE, PIECE_BITS = 1 << 18, np.uint64(19)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -41,7 +43,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         factors = np.full(max(n, 1 << 16), base, np.uint64)
         factors[0] = 1
         kept = np.multiply.accumulate(factors)
-        if n <= 2 * GROUP_BYTES:
+        if n <= 2 * PIECE:
             _powers[str(base)] = kept
     return kept[:n]
 
@@ -56,31 +58,38 @@ def token_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per piece: of its windows inside a text the first and number that share a token, the token's place and its hash; places are from the start of ``data``."""
+    place = (np.uint64(1) << PIECE_BITS) - np.uint64(1)
+    for start in range(0, len(data) - LENGTH + 1, PIECE):
+        h = token_hashes(data[start : start + PIECE + LENGTH - 1])
+        # Equal windows choose alike wherever they lie, so the bits kept for places do not depend on the piece.
+        least = (h >> PIECE_BITS << PIECE_BITS) | np.arange(len(h), dtype=np.uint64)
+        span = 1
+        while 2 * span <= PLACES:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[: len(h) - PLACES + 1], least[PLACES - span :])
+        window = np.arange(start, start + len(least))
+        text = np.searchsorted(ends, window, side="right")
+        inside = np.flatnonzero(window + LENGTH <= ends[text])
+        if len(inside):
+            text, at = text[inside], (least[inside] & place).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
+            yield text[first], window[inside[first]], np.diff(np.concatenate((first, [len(at)]))), at[first] + start, h[at[first]].view(np.int64)
+
+
 def suffixes(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """For texts laid end to end: per token in use its text, the first window it stands for, how many, its place, all from the text's start; and its hash."""
-    nothing = tuple(np.empty(0, np.int64) for _ in range(5))
-    if len(data) < LENGTH:
-        return nothing
-    h = token_hashes(data)
-    bits = np.uint64(len(data).bit_length())
-    least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    span = 1
-    while 2 * span <= PLACES:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    least = np.minimum(least[: len(data) - LENGTH + 1], least[PLACES - span :])
     ends = np.cumsum(lengths)
-    window = np.arange(len(least))
-    text = np.searchsorted(ends, window, side="right")
-    window = window[window + LENGTH <= ends[text]]
-    if not len(window):
-        return nothing
-    at = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    count = np.diff(np.concatenate((first, [len(at)])))
-    lo, at = window[first], at[first]
-    base = (ends - lengths)[text[lo]]
-    return text[lo], lo - base, count, at - base, h[at].view(np.int64)
+    pieces = list(_pieces(data, ends))
+    if not pieces:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    text, lo, count, at, token = (np.concatenate(column) for column in zip(*pieces))
+    # A token in use on both sides of a piece's border is one.
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
+    base = (ends - lengths)[text[first]]
+    return text[first], lo[first] - base, np.add.reduceat(count, first), at[first] - base, token[first]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -158,9 +167,16 @@ def repeated_windows(off: np.ndarray, count: np.ndarray, bytes_: list[bytes]) ->
     sizes = np.fromiter(map(len, bytes_), np.int64, g)
     start = np.concatenate(([0], np.cumsum(sizes)[:-1])) + off
     to_right, to_left = np.arange(LENGTH), np.arange(1, -(-PLACES // 8) * 8 + 1)
-    right = np.where(to_right < (sizes - off)[:, None], flat[np.minimum(start[:, None] + to_right, len(flat) - 1)], 0).astype(np.uint8)
-    left = np.where(to_left <= off[:, None], flat[np.maximum(start[:, None] - to_left, 0)], 0).astype(np.uint8)
-    sorted_right, sorted_left = _agreement(right), _agreement(left)
+
+    def context(steps: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The bytes at these steps from each start, 0 beyond ``inside`` of them; a few rows at a time, as places take eight times the room of bytes."""
+        rows = np.zeros((g, len(steps)), np.uint8)
+        for at in range(0, g, 1 << 12):
+            some = slice(at, at + (1 << 12))
+            rows[some] = flat[np.clip(start[some, None] + steps, 0, len(flat) - 1)] * (np.arange(len(steps)) < inside[some, None])
+        return rows
+
+    sorted_right, sorted_left = _agreement(context(to_right, sizes - off)), _agreement(context(-to_left, off))
     out = np.zeros((g, PLACES), bool)
     kind = [np.empty(g, np.int64), np.empty(g, np.int64)]
     for d in range(PLACES):
@@ -214,7 +230,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @F.arrow_udf(T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]))
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+    for text, found in zip(texts, spans):
+        text, found = text.as_py(), found.as_py()
         removed = runs = last = 0
         kept = []
         for start, end in sorted((s["start"], s["end"]) for s in found):

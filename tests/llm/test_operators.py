@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -184,6 +185,31 @@ def test_repeated_strings(spark, hot, monkeypatch):
     assert {r[0]: (*r[1:4], bytes(r[4])) for r in got} == want
 
 
+def test_suffix_tokens_by_pieces(monkeypatch):
+    draw = np.random.default_rng(3)
+    lengths = np.concatenate((draw.integers(0, 900, 300), [30_000, 0, 199, 200, 201]))
+    data = draw.integers(97, 100, lengths.sum()).astype(np.uint8)
+    data[40_000:50_000] = 97
+    whole = suffix_dedup.suffixes(data, lengths)
+    for piece in (161, 5_000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.suffixes(data, lengths)))
+
+
+def test_repeats_need_little_memory():
+    draw = np.random.default_rng(4)
+    text = draw.integers(97, 123, 1 << 22).astype(np.uint8)
+    off, count = np.full(1 << 15, 80), np.full(1 << 15, 60)
+    rows = [text[i : i + 280].tobytes() for i in draw.integers(0, 1 << 21, 1 << 15)]
+    for work in (lambda: suffix_dedup.suffixes(text, np.array([len(text)])), lambda: suffix_dedup.repeated_windows(off, count, rows)):
+        work()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64e6
+
+
 def labelled(spark):
     good = [" ".join(rng.choices(["river", "stone", "walks", "over", "green", "field"], k=60)) + "." for _ in range(60)]
     bad = [" ".join(w + "###" for w in rng.choices(["BUY", "NOW", "CHEAP"], k=60)) for _ in range(60)]
