@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,25 @@ def test_fold_events_in_one_pass(spark):
         ("amy", "owner", 3, 1, "t2#2", False, "haddr1", "{}"),
         ("bob", "label_burn", 1, 1, None, False, None, None), ("eve", "burn", 0, 1, None, False, None, None)}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_read_many_at_a_time(spark, tmp_path):
+    outputs = '[{"address": "a", "lovelace": 5, "assets": {"p": {"k%d": 1, "k": %s}}, "datum": {"x": [1.50, "z"]}}]'
+    block = '{"id": "b%d", "height": 1, "slot": 2, "type": "praos", "transactions": [{"id": "t", "outputs": ' + outputs + ', "metadata": {"721": 1e5}}]}'
+    lines = [block % (i, i, "9" * 38) for i in range(2500)]
+    odd = ["", "  ", ' {"id": 5, "more": [1]}\t', "{}", '{"id": "first"},{"id": "not read"}', '{"id": "x"} ]', "{'id': 'single'}", f"[{lines[0]}, {lines[1]}]", "[]", '{"id": "a", "id": "b"}']
+    documents = [d for b in landed._documents()(iter([pa.RecordBatch.from_arrays([pa.array(lines + odd)], ["value"])])) for d in b.column(0).to_pylist()]
+    assert len(documents) < 20
+    (tmp_path / "blocks.json").write_text("\n".join(lines + odd))
+    plain = spark.read.schema(landed.BLOCK_SCHEMA).option("mode", "FAILFAST").json(str(tmp_path))
+    found = landed.read_blocks(spark, str(tmp_path))
+    assert found.schema == plain.schema and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert found.count() == 2508
+
+
+@pytest.mark.parametrize("broken", ["null", "5", '{"id": "b"', '{"transactions": [{}', '{"height": "x"}', '{"height": NaN}', '{"transactions": [5]}', "\u00a0"])
+def test_unreadable_blocks_fail(spark, tmp_path, broken):
+    # The second line would close what the first leaves open.
+    (tmp_path / "blocks.json").write_text("\n".join(['{"id": "a"}', broken, "{}]}", '{"id": "c"}']))
+    with pytest.raises(Exception):  # noqa: B017 - the parser's own
+        landed.read_blocks(spark, str(tmp_path)).collect()
