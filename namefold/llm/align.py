@@ -38,6 +38,8 @@ CHUNK = 1 << 16
 RANGE, FAN = 1 << 14, 16
 #: Characters of the texts whose results leave a worker together.
 GROUP_CHARS = 1 << 20
+#: Bytes of the row groups that fragments are stored in. A fragment is up to some MB, and a task that reads a row group holds all of it as arrays, several times as large.
+STORED_BYTES = 1 << 21
 #: One space between other characters begins a word for both tokenizers: neither has a token with a space after another character.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
@@ -332,10 +334,10 @@ def aligned(docs: DataFrame, bytes_path: str, pieces_path: str, key: str = "doc_
 
     short = rows.where(~long).mapInArrow(whole_texts, keyed + _RESULT)
     cut = rows.where(long).mapInArrow(cut_up, keyed + "no long, n long, start long, text string").repartition("rid", "no")
-    parts = materialize(cut.mapInArrow(chunk_fragments, keyed + _FRAGMENT), "fragments")
+    parts = materialize(cut.mapInArrow(chunk_fragments, keyed + _FRAGMENT), "fragments", group_bytes=STORED_BYTES)
     most = parts.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        parts = materialize(parts.groupBy("rid", F.floor(F.col("no") / FAN).cast("long").alias("at")).applyInArrow(neighbours, keyed + _FRAGMENT), "fragments")
+        parts = materialize(parts.groupBy("rid", F.floor(F.col("no") / FAN).cast("long").alias("at")).applyInArrow(neighbours, keyed + _FRAGMENT), "fragments", group_bytes=STORED_BYTES)
         most = -(-most // FAN)
     return short.unionByName(parts.mapInArrow(last, keyed + _RESULT))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namefold.llm import align, bpe, decontaminate, exact_dedup, html_blocks, line_dedup, merkle, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
-from namefold.llm.common import table
+from namefold.llm.common import in_small_batches, table
 from namefold.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, MERKLE_SQL, MIXING_SQL, QUALITY_RULES_SQL
 from namefold.scratch import materialize
 
@@ -110,6 +110,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_align")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     files = vocabulary(), vocabulary(PIECES)
     found = align.aligned(table(spark, sf_dir, "documents"), *files)
     digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))

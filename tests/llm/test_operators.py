@@ -16,9 +16,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from namefold.llm import bpe, components, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
+from namefold.llm import align, bpe, components, exact_dedup, html_blocks, line_dedup, mixing, quality_net, quality_rules, simhash, suffix_dedup, toxicity
 from namefold.llm.common import training_rows
-from namefold.llm.queries import vocabulary
+from namefold.llm.queries import PIECES, vocabulary
 from templates import FRESH, TEMPLATES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp string, component_id string, size string"
@@ -406,3 +406,22 @@ def test_a_text_scores_the_same_alone_and_beside_others():
     texts = [bytes(rng.choices(range(1, 256), k=n)) for n in (64, 3, 0, 59, 60, 123, 128, 700, 1)]
     alone = [logits([t])[0] for t in texts]
     assert logits(texts) == pytest.approx(alone, abs=1e-12) and logits(texts[::-1]) == pytest.approx(alone[::-1], abs=1e-12)
+
+
+def test_fragments_of_many_long_texts_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A reader holds a row group at once, as arrays: 40 fragments of 60,000 characters must not lie in one."""
+    stored, store = [], align.materialize
+    monkeypatch.setattr(align, "materialize", lambda df, label, **options: stored.append(store(df, label, **options)) or stored[-1])
+    words = [w for t in SENTENCE for w in t.split()]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(30_000))) for i in range(20)]
+    files = vocabulary(), vocabulary(PIECES)
+    found = align.aligned(documents(spark, texts), *files).collect()
+    for row in found:
+        whole = align.ended(align.of_range(texts[row["id"]][1], 0, align.load(*files)), align.load(*files).size_b)
+        assert (row["n_a"], row["n_links"], row["groups"]) == (len(whole.a), len(whole.links), align.load(*files).write(whole))
+    assert len(found) == 20 and len(stored) == 2
+    for table in stored:
+        for path in table.inputFiles():
+            groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+            values = [sum(g.column(c).num_values for c in range(g.num_columns)) for g in map(groups.row_group, range(groups.num_row_groups))]
+            assert 8 * max(values) <= 16 << 20, values
