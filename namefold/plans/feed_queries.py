@@ -11,7 +11,7 @@ from namefold.plans import bindings as b
 from namefold.plans.bindings import table, with_views
 from namefold.plans.ledger_queries import FOLD_ORACLE, fold_fields
 from namefold.plans.registry import query
-from namefold.scratch import materialize, scratch_path
+from namefold.scratch import materialize, release, scratch_path, shuffles_dropped
 from namefold.sources import landed, sinks, snapshot
 from namefold.streaming import ingest
 
@@ -146,13 +146,15 @@ def _shares(rows: DataFrame, slices: int) -> int:
     return shares if len(counts) == slices and min(counts) >= 2 * shares * rows.rdd.getNumPartitions() else 1
 
 
-def _land(rows: DataFrame, feed: str, files: int, shares: int = 1) -> None:
-    """Land the rows in so many steps, oldest first, each as so many files."""
+def _land(rows: DataFrame, feed: str, files: int, shares: int = 1, *, packed: bool = False) -> None:
+    """Land the rows in so many steps, oldest first, each as so many files; ``packed`` ones (gzip) take a fifth of the room."""
     first, last = rows.agg(F.min("seq"), F.max("seq")).first()
     width = (last - first) // files + 1
     for k in range(files):
         part = rows.filter(F.col("seq").between(first + k * width, first + (k + 1) * width - 1))
-        (part.repartition(shares) if shares > 1 else part.coalesce(1)).write.mode("append").json(feed)
+        part = part.repartition(shares) if shares > 1 else part.coalesce(1)
+        with shuffles_dropped(part.sparkSession):
+            part.write.mode("append").options(**landed.PACKED if packed else {}).json(feed)
 
 
 def _run_feed(spark, rows: DataFrame, slices: int, kind: type[ingest.BlockLedger]) -> tuple[ingest.BlockLedger, int]:
@@ -195,9 +197,8 @@ def stream_current_state(spark, sf_dir):
     return job.records(batch).select("name", "amount", "utxo", "holder", "updated_slot_number")
 
 
-def _whole_feed(spark, sf_dir) -> DataFrame:
+def _whole_feed(spark, sf_dir, events: DataFrame) -> DataFrame:
     """Events of all kinds as feed rows, some delivered twice; every block has a row without a name, and an empty block closes the feed."""
-    events = b.asset_events(spark, sf_dir)
     outputs = events.filter(~F.col("kind").isin(*state.BURNS))
     # The ledger's names all were minted once: where no mint is told, the first output is it.
     first = outputs.groupBy("name").agg(F.min(F.struct("slot", "rank", "tx_pos", "idx", "hex")).alias("f")).select(
@@ -220,9 +221,12 @@ def _whole_feed(spark, sf_dir) -> DataFrame:
 def stream_whole_state(spark, sf_dir):
     """All kinds of events through the job, two of six steps in a batch, against the same SQL as the batch fold."""
     feed = scratch_path(spark, "feed")
-    rows = materialize(_whole_feed(spark, sf_dir), "rows")
+    events = b.asset_events(spark, sf_dir)
+    rows = materialize(_whole_feed(spark, sf_dir, events), "rows", codec="zstd")
+    release(spark, events)
     shares = _shares(rows, 6)
-    _land(rows, feed, 6, shares)
+    _land(rows, feed, 6, shares, packed=True)
+    release(spark, rows)
     og_list = materialize(b.names(spark, sf_dir).filter("og_number > 0").select("name", "og_number"), "og")
     job = ingest.CurrentState(spark, scratch_path(spark, "work"), policies=(b.TRACKED_POLICY,), compact_every=2, og_list=og_list)
     ingest.run(job, feed, files_per_batch=2 * shares)

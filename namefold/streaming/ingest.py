@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import normalize, state
-from namefold.scratch import materialize
+from namefold.scratch import materialize, release, shuffles_dropped
 from namefold.sources import landed
 
 STATUS_SCHEMA = "last_height BIGINT, halted BOOLEAN, events BIGINT, blocks BIGINT, names BIGINT"
@@ -108,7 +108,8 @@ class BlockLedger:
         return f"{self.work}/{table}/batch={batch}"
 
     def _write(self, df: DataFrame, table: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(table, batch))
+        with shuffles_dropped(df.sparkSession):
+            df.write.mode("overwrite").parquet(self._path(table, batch))
 
     def _read(self, table: str, batches: list[int]) -> DataFrame | None:
         if not batches:
@@ -161,7 +162,8 @@ class BlockLedger:
             halted = halted and resumed is None
             held = self._read("held", [batch - 1]) if resumed is None else resumed
             rows = rows.unionByName(held.drop("batch"))
-        rows = rows.persist()
+        # Read some ten times. Landed it takes less room than cached blocks that spill, and goes when the batch ends.
+        rows = materialize(rows, "rows", codec="zstd")
         try:
             early, late = before_undo(rows)
             if halted:
@@ -185,7 +187,7 @@ class BlockLedger:
                 F.lit(blocks).cast("bigint").alias("blocks"), F.lit(names).cast("bigint").alias("names"))
             self._write(status, "status", batch)
         finally:
-            rows.unpersist()
+            release(rows.sparkSession, rows)
 
     def _without_applied(self, rows: DataFrame, last_height: int | None, batch: int) -> DataFrame:
         """Rows above the applied blocks. A row delivered again is ignored; another block at
@@ -239,25 +241,29 @@ class CurrentState(BlockLedger):
         once = distinct_events(released.filter(F.coalesce("successful", F.lit(True))))
         if self.policies:
             once = normalize.tracked(once, self.policies)
+        once = materialize(once, "once", codec="zstd")
         every = fold_events(once)
-        events = state.prepare(state.net_of_block(every.drop("metadata"), spent_outputs(once))).persist()
+        events = materialize(state.prepare(state.net_of_block(every.drop("metadata"), spent_outputs(once))), "events", codec="zstd")
         touched = events.select("name").distinct()
         # Mint history counts every output, also one spent in its own block.
         self._write(every.filter("is_mint").select(
             "name", F.col("slot").alias("created_slot"), F.split_part("utxo", F.lit("#"), F.lit(1)).alias("tx_hash"),
             F.coalesce("metadata", F.lit("{}")).alias("metadata"),
         ).distinct(), "mints", batch)
+        release(once.sparkSession, once)
         mints = self.table("mints", batch).drop("batch").join(touched, "name", "left_semi").distinct()
         prior = self.records(batch - 1)
+        landed_here = [events]
         if prior is None:
             records = state.fold(events, mints, og_list=self.og_list, strict=self.strict).withColumn("exists", F.lit(True))
         else:
-            records = state.fold(
-                events, mints, materialize(prior.join(touched, "name", "left_semi"), "prior"), og_list=self.og_list, strict=self.strict)
+            prior = materialize(prior.join(touched, "name", "left_semi"), "prior")
+            landed_here.append(prior)
+            records = state.fold(events, mints, prior, og_list=self.og_list, strict=self.strict)
         self._write(records, "state", batch)
         if batch > 0 and batch % self.compact_every == 0:
             self._write(self._newest(batch), "full", batch)
-        events.unpersist()
+        release(events.sparkSession, *landed_here)
         return self._read("state", [batch]).count()
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from namefold.functions import assets
 from namefold.operators import state
+from namefold.plans import feed_queries
+from namefold.scratch import materialize, release
 from namefold.sources import landed, snapshot
 from namefold.streaming import ingest
 
@@ -176,3 +179,31 @@ def test_a_large_feed_lands_each_step_as_several_files(spark, tmp_path, monkeypa
     assert spark.read.schema("seq bigint").json(str(tmp_path / "feed")).distinct().count() == 1000
     sparse = rows.filter("seq < 500 or seq > 997")
     assert feed_queries._shares(sparse, 2) == 1  # a step of two rows cannot fill them
+
+
+def test_a_batch_leaves_only_its_own_tables(spark, tmp_path):
+    """What a batch lands on the way goes when it ends, and landed steps are packed."""
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"), "namefold")
+    before = set(scratch.glob("*"))
+    feed, job = tmp_path / "feed", ingest.CurrentState(spark, str(tmp_path / "work"))
+    rows = [row(1, 1, "a", mint=True), row(2, 2, "a", holder="x"), row(3, 3, "a", holder="y"), row(4, 4, None, None)]
+    feed_queries._land(spark.createDataFrame(rows, "seq bigint, action string, slot bigint, height bigint, hash string, tx_hash string, successful boolean, policy string, name string,"
+                                             " label string, hex string, kind string, idx int, address string, holder string, is_mint boolean"), str(feed), 2, packed=True)
+    assert len(list(feed.glob("*.json.gz"))) == len(list(feed.glob("part-*"))) == 2
+    ingest.run(job, str(feed))
+    assert ingest.last_batch(job) == 1 and holders(job) == {"a": ("y", 1)}
+    assert {p.name.split("-")[0] for p in set(scratch.glob("*")) - before} <= {"minted"}
+
+
+def test_a_landed_table_keeps_no_shuffle_files_and_can_be_released(spark):
+    def shuffled():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = shuffled()
+    counts = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    some = materialize(counts.filter("k > 2"), "some")
+    assert not shuffled() - before
+    folder, kept = (Path(t.inputFiles()[0].removeprefix("file:")).parent for t in (counts, some))
+    release(spark, counts, str(kept.parent.parent / "elsewhere"), str(kept.parent))
+    assert not folder.exists() and kept.exists() and some.count() == 4
