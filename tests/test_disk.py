@@ -35,6 +35,7 @@ def sf_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("key, stay", [
     ("blocks_to_state", {"events", "mints", "minted", "several"}),
     ("repair_records_whole", {"events", "mints", "minted", "several", "names", "records"}),
+    ("rebuild_from_snapshot", {"snapshot", "records", "minted", "several", "blocks"}),
 ])
 def test_tables_on_the_way_are_gone(spark, sf_dir, key, stay):
     scratch = Path(spark.conf.get("spark.checkpoint.dir"), "namefold")
