@@ -77,9 +77,10 @@ class Vocabularies:
     def tokens(self, text: str, start: int = 0) -> tuple[bool, Tokens]:
         """Whether both give back the bytes of space + text, and the tokens with the bytes they end at."""
         spaced = " " + text
-        a, b = np.array(self.a.encode_ordinary(spaced), np.int64), np.array(self.b.encode(text), np.int64)
+        a, b = self.a.encode_ordinary(spaced), self.b.encode(text)
         whole = spaced.encode()
-        same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return same, Tokens(a, start + np.cumsum(self.a_length[a]), b, start + np.cumsum(self.b_length[b]))
 
     def write(self, groups: Groups) -> str:
@@ -217,6 +218,8 @@ def of_range(text: str, start: int, known: Vocabularies, width: int = RANGE) ->
         return Fragment(NOTHING, NO_GROUPS, NOTHING, False, False)
     same, tokens = known.tokens(text, start)
     end = max(tokens.a_end[-1:].max(initial=start), tokens.b_end[-1:].max(initial=start))
+    if end - (start - start % width) <= width:
+        return fragment(tokens, same, known.size_b)
     borders = [-1, *range(start - start % width + width, end, width), end]
     return fold([fragment(tokens.between(i, j), same, known.size_b) for i, j in zip(borders, borders[1:])], known.size_b)
 
